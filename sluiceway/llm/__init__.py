@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import line_dedup, near_dup, packing, token_file
+from . import decontaminate, line_dedup, near_dup, packing, token_file
 
-MODULES = [line_dedup, token_file, packing, near_dup]
+MODULES = [line_dedup, token_file, decontaminate, packing, near_dup]
 QUERIES = {k: f for m in MODULES for k, f in m.QUERIES.items()}
 ORACLES = {k: s for m in MODULES for k, s in getattr(m, "ORACLES", {}).items()}
