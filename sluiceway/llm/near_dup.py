@@ -177,13 +177,19 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+#: Ids to drop are broadcast up to so many (8 bytes each), joined by shuffle beyond.
+BROADCAST_IDS = 500_000
+
+
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """The rows whose doc_id is the smallest of their near-duplicate component; rows without an id stay.
+    """The documents whose doc_id is the smallest of their near-duplicate component; rows without an id stay.
 
-    Of rows with equal doc_id all stay or go together.
+    Rows with equal doc_id stay or go together: they stay if one of them is to stay.
     """
-    kept = near_duplicates(docs).where("doc_id = component_id").select(F.col("doc_id").alias("kept_id")).distinct()
-    return docs.join(kept, F.col("doc_id") == F.col("kept_id"), "left_semi").unionAll(docs.where(F.col("doc_id").isNull()))
+    stays = F.max(F.col("doc_id") == F.col("component_id"))
+    dropped = cut(near_duplicates(docs).where("doc_id IS NOT NULL").groupBy("doc_id").agg(stays.alias("stays")).where("NOT stays").select(F.col("doc_id").alias("dropped_id")))
+    bounded = dropped.count() <= BROADCAST_IDS
+    return docs.join(F.broadcast(dropped) if bounded else dropped, docs["doc_id"] == F.col("dropped_id"), "left_anti")
 
 
 QUERIES = {"op10_simhash": op10_simhash}
