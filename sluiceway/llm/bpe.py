@@ -7,7 +7,9 @@ tokenizers library and its ids are reused; the ids of a text are those of its ch
 
 from __future__ import annotations
 
+import functools
 import re
+import unicodedata
 from array import array
 
 #: White space as Unicode defines it; the vocabularies' own patterns use the same set.
@@ -19,26 +21,48 @@ DROPS_SPACE = re.compile(r"[^ \n]+")
 #: A single blank or line end joins the word it precedes; longer runs leave their last character to that word.
 KEEPS_SPACE = re.compile(rf"[ \n]?[^{SPACE}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]")
 
+#: Texts of characters below U+0300 only (but for one whose lower case is longer) are cut into pretokens right here:
+#: normalisation leaves them as they are, and the classes of their characters are known.
+_HARD = re.compile("[\u0130\u0300-\U0010ffff]")
+
+
+def _class(kind: str) -> str:
+    return "".join(re.escape(chr(k)) for k in range(0x300) if unicodedata.category(chr(k))[0] == kind)
+
+
+_L, _N = _class("L"), _class("N")
+_ENDINGS = "'(?:s|t|re|ve|m|ll|d)"
+_DROPS = re.compile(rf"[{_L}]+|{_ENDINGS}|[{_N}]|[^{SPACE}{_L}{_N}]+")
+_KEEPS = re.compile(rf" ?[{_L}]+|{_ENDINGS}| ?[{_N}]+| ?[^{SPACE}{_L}{_N}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+")
+
+#: The vocabularies write bytes as characters: printable ones as themselves, the others from U+0100 on, in order.
+_PLAIN = [*range(33, 127), *range(161, 173), *range(174, 256)]
+_BYTES = {b: b for b in _PLAIN} | {b: 256 + k for k, b in enumerate(x for x in range(256) if x not in _PLAIN)}
+
 #: Encoded chunks that a worker keeps; once full, others are encoded again whenever they come up.
-CACHED = 400_000
+CACHED = 1_000_000
 
 
 class Encoder:
     """Ids of texts as little-endian unsigned 32-bit integers."""
 
-    def __init__(self, path: str, chunks: re.Pattern[str]):
+    def __init__(self, path: str, drops_space: bool):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.known: dict[str, bytes] = {}
-        self.tokenizer, self.chunks = Tokenizer.from_file(path), chunks
+        self.tokenizer, self.drops = Tokenizer.from_file(path), drops_space
         self.tokenizer.encode_special_tokens = True  # control strings in a text are ordinary text
 
-    def _fresh(self, new: list[str]) -> dict[str, bytes]:
+    def _fresh(self, new: list[str], whole: bool) -> dict[str, bytes]:
         out = {}
-        for k in range(0, len(new), 8192):
+        if whole:  # pretokens: only merging is left to do
+            merge = self.tokenizer.model.tokenize
+            for word in new:
+                out[word] = array("I", [t.id for t in merge(word.encode().decode("latin-1").translate(_BYTES))]).tobytes()
+        for k in range(0, 0 if whole else len(new), 8192):
             part = new[k : k + 8192]
             for chunk, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
                 out[chunk] = array("I", e.ids).tobytes()
@@ -48,22 +72,25 @@ class Encoder:
 
     def encode_many(self, texts: list[str], end: int) -> list[bytes]:
         """The ids of each text and the end id. Unknown chunks of all texts are encoded together."""
-        tail, known = int(end).to_bytes(4, "little"), self.known.get
-        found = [self.chunks.findall(t) for t in texts]
-        got = [list(map(known, f)) for f in found]
-        new = {c for f, g in zip(found, got, strict=True) if None in g for c, ids in zip(f, g, strict=True) if ids is None}
-        if new:
-            fresh = self._fresh(list(new))
-            got = [[ids if ids is not None else fresh[c] for c, ids in zip(f, g, strict=True)] if None in g else g for f, g in zip(found, got, strict=True)]
-        return [b"".join(g) + tail for g in got]
-
-
-_held: dict[tuple[str, str], Encoder] = {}
+        tail, out = int(end).to_bytes(4, "little"), [b""] * len(texts)
+        hard = [_HARD.search(t) is not None for t in texts]
+        for whole in (False, True):
+            at = [k for k, h in enumerate(hard) if h != whole]
+            if self.drops:
+                found = [(_DROPS.findall(texts[k].lower()) if whole else DROPS_SPACE.findall(texts[k])) for k in at]
+            else:
+                found = [(_KEEPS if whole else KEEPS_SPACE).findall(texts[k]) for k in at]
+            got = [list(map(self.known.get, f)) for f in found]
+            new = {c for f, g in zip(found, got, strict=True) if None in g for c, ids in zip(f, g, strict=True) if ids is None}
+            if new:
+                fresh = self._fresh(list(new), whole)
+                got = [[ids if ids is not None else fresh[c] for c, ids in zip(f, g, strict=True)] if None in g else g for f, g in zip(found, got, strict=True)]
+            for k, g in zip(at, got, strict=True):
+                out[k] = b"".join(g) + tail
+        return out
 
 
-def encoder(path: str, chunks: re.Pattern[str]) -> Encoder:
-    """One encoder for each vocabulary in a worker process."""
-    key = (path, chunks.pattern)
-    if key not in _held:
-        _held[key] = Encoder(path, chunks)
-    return _held[key]
+@functools.cache
+def encoder(path: str, drops_space: bool) -> Encoder:
+    """One encoder for each vocabulary in a worker process; drops_space tells its kind."""
+    return Encoder(path, drops_space)

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .bpe import KEEPS_SPACE, encoder
+from .bpe import encoder
 from .common import small_batches, table
 
 LENGTH, END = 2048, 1
@@ -131,7 +131,7 @@ def pack(docs: DataFrame, *, tokenizer: str, length: int = LENGTH, end: int = EN
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        made = encoder(tokenizer, KEEPS_SPACE)
+        made = encoder(tokenizer, drops_space=False)
         packer = Packer(TaskContext.get().partitionId() << SHIFT, length)
         out: list[tuple] = []
 

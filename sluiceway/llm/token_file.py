@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .bpe import DROPS_SPACE, encoder
+from .bpe import encoder
 from .common import scratch, small_batches, table
 
 MAGIC, BLOCK, PERCENTILE, END = b"SPF1", 128, 0.9, 2
@@ -197,7 +197,7 @@ def write_tokens(docs: DataFrame, path: str, *, tokenizer: str, end: int = END,
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        part, made, out = TaskContext.get().partitionId(), encoder(tokenizer, DROPS_SPACE), None
+        part, made, out = TaskContext.get().partitionId(), encoder(tokenizer, drops_space=True), None
         name = f"part-{part:06d}-{uuid.uuid4().hex}.spf"
         for batch in batches:
             out = out or Writer(f"{path}/ids/{name}")
