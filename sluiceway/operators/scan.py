@@ -8,6 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..shipping import ship
 from .basic import ORDER
 
 #: step(state or None, batch of one key's next rows) -> (state, new column)
@@ -20,6 +21,7 @@ def scan(df: DataFrame, keys: Sequence[str], step: Step, column: str, kind: str,
     Rows are dealt out by key and sorted within partitions; a key's rows pass in batches, so a key may have any
     number of them. Without keys the stream is one sequence and one task reads it.
     """
+    ship(df.sparkSession)
     n = len(df.columns)
     names = [f"_k{i}" for i in range(len(keys))]
     keyed = df.withColumns({k: F.coalesce(F.col(c).cast("string"), F.lit("default")) for k, c in zip(names, keys, strict=True)})
@@ -27,11 +29,11 @@ def scan(df: DataFrame, keys: Sequence[str], step: Step, column: str, kind: str,
     schema = df.withColumn(column, F.lit(None).cast(kind)).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, state = None, None
+        width, held, state = len(names), None, None
         for batch in batches:
             if not batch.num_rows:
                 continue
-            ids = list(zip(*[batch.column(n + i).to_pylist() for i in range(len(names))], strict=True)) or [()] * batch.num_rows
+            ids = list(zip(*[batch.column(n + i).to_pylist() for i in range(width)], strict=True)) or [()] * batch.num_rows
             new, at = [], 0
             for k in range(1, len(ids) + 1):
                 if k == len(ids) or ids[k] != ids[at]:
