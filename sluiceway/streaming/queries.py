@@ -50,18 +50,18 @@ class Runs(StatefulProcessor):
         self.waiting = handle.getListState("waiting", "us long, event_id long, event_type string")
         self.runs = handle.getListState("runs", "ids array<long>, start long")
 
-    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timers: Any) -> Iterator[pd.DataFrame]:  # noqa: N802
+    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         low = None
         for pdf in rows:
             for us, i, kind in zip((pdf["us"]).tolist(), pdf["event_id"].tolist(), pdf["event_type"].tolist(), strict=True):
                 self.waiting.appendValue((us, i, kind))
                 low = us if low is None else min(low, us)
         if low is not None:
-            self.handle.registerTimer(max(timers.getCurrentWatermarkInMs() + 1, low // 1000 + 1))
-        yield pd.DataFrame({"key": [], "ids": []})
+            self.handle.registerTimer(max(timerValues.getCurrentWatermarkInMs() + 1, low // 1000 + 1))
+        yield pd.DataFrame({"key": pd.Series([], dtype=object), "ids": pd.Series([], dtype=object)})
 
-    def handleExpiredTimer(self, key: Any, timers: Any, expired: Any) -> Iterator[pd.DataFrame]:  # noqa: N802
-        mark = timers.getCurrentWatermarkInMs() * 1000
+    def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        mark = timerValues.getCurrentWatermarkInMs() * 1000
         held = sorted(tuple(x) for x in self.waiting.get()) if self.waiting.exists() else []
         ready, left = [x for x in held if x[0] <= mark], [x for x in held if x[0] > mark]
         runs = [(list(r[0]), r[1]) for r in self.runs.get()] if self.runs.exists() else []
@@ -82,7 +82,7 @@ class Runs(StatefulProcessor):
         self.waiting.clear()
         if left:
             self.waiting.put(left)
-            self.handle.registerTimer(max(timers.getCurrentWatermarkInMs() + 1, left[0][0] // 1000 + 1))
+            self.handle.registerTimer(max(timerValues.getCurrentWatermarkInMs() + 1, left[0][0] // 1000 + 1))
         self.runs.clear()
         if runs:
             self.runs.put([(ids, start) for ids, start in runs])
