@@ -87,6 +87,24 @@ def forecast(events: DataFrame, steps: Sequence[str], *, key: str, confidence: f
     return found.select(*events.columns, "forecast_probability", "forecast_context_depth", F.lit(steps[0]).alias("forecast_state"))
 
 
+#: Named settings: warm-up events, depth, Hawkes boost, conformal interval.
+PRESETS = {"fast": (50, 3, False, False), "balanced": (100, 3, True, True), "accurate": (200, 5, True, True)}
+
+
+def pruned(tree: SuffixTree, least: float = 0.05) -> SuffixTree:
+    """The tree without contexts whose predictions differ from their shorter context's by less than `least` (KL divergence)."""
+    import math
+
+    kept = {(c, s): n for c, own in tree.counts.items() for s, n in own.items() if len(c) < 2 or sum(p * math.log(p / tree.predict(c[1:])[s2]) for s2, p in tree.predict(c).items()) >= least}
+    return SuffixTree(kept, tree.alpha)
+
+
+def waiting_time(tree: SuffixTree, steps: Sequence[str], context: Sequence[str], mean_gap: float) -> float:
+    """Expected time to completion: the steps left over the chance of the next one, in mean gaps between events."""
+    chance = tree.predict(context).get(steps[0], 0.0)
+    return len(steps) / chance * mean_gap if chance else float("inf")
+
+
 def hawkes(gaps: Sequence[float], *, mu: float, alpha: float, beta: float) -> list[float]:
     """Intensity after each event: mu + (before - mu + alpha) decayed over the gap that follows."""
     import math

@@ -40,3 +40,21 @@ def trends(events: DataFrame, start: Column, repeat: Column, value: Column, *, b
         *by, F.col("_t.ends").alias("n_trends"), F.col("_t.events").alias("n_events"), F.col("_t.sums").alias("sum_values"),
         F.when(F.col("_t.events") > 0, F.col("_t.sums") / F.col("_t.events").cast("double")).alias("avg_value"), F.col("_t.low").alias("min_value"), F.col("_t.high").alias("max_value"),
     )
+
+
+def many_trends(events: DataFrame, patterns: dict[str, tuple[Column, Column]], *, by: list[str]) -> DataFrame:
+    """n_<name> for each of several patterns `start -> all repeat`: one shuffle serves all of them."""
+    rows = F.array_sort(F.collect_list(F.struct(*ORDER, *[F.when(a, 0).when(b, 1).alias(n) for n, (a, b) in patterns.items()])))
+    zero = F.lit(0).cast(KIND)
+
+    def counted(name: str) -> Column:
+        first = F.struct(zero.alias("starts"), zero.alias("ends"))
+
+        def grown(s: Column, e: Column) -> Column:
+            more = F.struct((s["starts"] + 1).cast(KIND).alias("starts"), s["ends"].alias("ends"))
+            ended = F.struct(s["starts"].alias("starts"), (s["ends"] + s["starts"] + s["ends"]).cast(KIND).alias("ends"))
+            return F.when(e[name] == 0, more).when(e[name] == 1, ended).otherwise(s)
+
+        return F.aggregate("_rows", first, grown)["ends"]
+
+    return events.groupBy(*by).agg(rows.alias("_rows")).select(*by, *[counted(n).alias(f"n_{n}") for n in patterns])

@@ -12,6 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
+from ..checkpoints import cut
 from .basic import ORDER
 from .scan import scan
 
@@ -29,8 +30,28 @@ def partition_label(c: Column) -> Column:
     return F.coalesce(c.cast("string"), F.lit("default")).alias("_partition")
 
 
+def numbered(df: DataFrame, column: str, *, order: Sequence[str] = ORDER) -> DataFrame:
+    """The rows with their place in the whole order, from 1, without bringing them into one task.
+
+    Rows are sorted by ranges and kept in a checkpoint; the driver sums one count for each range.
+    """
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = df.repartitionByRange(n, *order).sortWithinPartitions(*order)
+    parts = cut(parts.select("*", F.spark_partition_id().alias("_p"), F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)).alias("_i")))
+    sizes = sorted((r["_p"], r["count"]) for r in parts.groupBy("_p").count().collect())
+    before, starts = 0, []
+    for p, size in sizes:
+        starts.append((p, before))
+        before += size
+    offsets = df.sparkSession.createDataFrame(starts, "_p int, _start long")
+    return parts.join(F.broadcast(offsets), "_p").withColumn(column, F.col("_start") + F.col("_i") + 1).drop("_p", "_i", "_start")
+
+
 def count_window(df: DataFrame, n: int, *, keys: Sequence[str] = (), flush: bool = False, order: Sequence[str] = ORDER) -> DataFrame:
     """Tags rows with w_id, the number of their window of n rows."""
+    if not keys:
+        out = numbered(df, "_rn", order=order).withColumn("w_id", F.floor((F.col("_rn") - 1) / n).cast("long")).drop("_rn")
+        return out if flush else out.where(F.col("w_id") < out.count() // n)
     rn = F.row_number().over(_over(keys, order))
     out = df.withColumn("w_id", F.floor((rn - 1) / n).cast("long"))
     if not flush:

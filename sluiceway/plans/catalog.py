@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalar as S
 from ..operators import aggregates as A
-from ..operators import basic, forecast, joins, patterns, trends, windows
+from ..operators import basic, forecast, joins, patterns, scoring, trends, windows
 from ..operators.patterns import Step, of_type
 
 HOUR, DAY = 3_600_000_000, 86_400_000_000
@@ -185,6 +185,12 @@ def sliding_anchored(spark, d):  # noqa: ANN001, ANN201
     return out.select("user_id", "ts", "n", F.round("total", 6).alias("total"))
 
 
+@query("""SELECT w_id, count(*) AS n, round(sum(value), 6) AS total FROM (SELECT *, (row_number() OVER (ORDER BY ts, event_id) - 1) // 100 AS w_id, count(*) OVER () AS c FROM events)
+ WHERE w_id < c // 100 GROUP BY w_id""")
+def count_window_global(spark, d):  # noqa: ANN001, ANN201
+    return windows.count_window(events(spark, d), 100).groupBy("w_id").agg(A.count().alias("n"), F.round(A.sum_(c("value")), 6).alias("total"))
+
+
 # ---- joins
 
 @query("""WITH u AS (SELECT user_id, ts, event_id, CASE WHEN event_type = 'view' THEN struct_pack(ts := ts, v := value) END AS a, CASE WHEN event_type = 'click' THEN struct_pack(ts := ts, v := value) END AS b
@@ -337,6 +343,30 @@ def trend_sum(spark, d):  # noqa: ANN001, ANN201
     return _trends(spark, d).where("n_trends > 0").select("user_id", "w_start", c("n_events").cast("long").alias("n_events"), F.round("sum_values", 3).alias("sum_values"))
 
 
+_MANY = """WITH RECURSIVE e AS (SELECT *, time_bucket(INTERVAL 7 DAY, ts, TIMESTAMP '1970-01-01') AS w_start, row_number() OVER (PARTITION BY user_id, time_bucket(INTERVAL 7 DAY, ts, TIMESTAMP '1970-01-01') ORDER BY ts, event_id) AS rn FROM events),
+ t AS (SELECT user_id, w_start, rn, (event_type = 'signup')::HUGEINT AS s1, 0::HUGEINT AS e1, (event_type = 'click')::HUGEINT AS s2, 0::HUGEINT AS e2 FROM e WHERE rn = 1
+ UNION ALL SELECT e.user_id, e.w_start, e.rn, s1 + (event_type = 'signup')::HUGEINT, CASE WHEN event_type = 'view' THEN 2 * e1 + s1 ELSE e1 END, s2 + (event_type = 'click')::HUGEINT, CASE WHEN event_type = 'purchase' THEN 2 * e2 + s2 ELSE e2 END
+ FROM t JOIN e ON e.user_id = t.user_id AND e.w_start = t.w_start AND e.rn = t.rn + 1)
+ SELECT user_id, w_start, CAST(max(e1) AS VARCHAR) AS n_viewed, CAST(max(e2) AS VARCHAR) AS n_bought FROM t GROUP BY user_id, w_start"""
+
+
+@query(_MANY)
+def trend_many(spark, d):  # noqa: ANN001, ANN201
+    e = windows.tumbling_aligned(events(spark, d), "7 days")
+    kind = lambda t: c("event_type") == t
+    out = trends.many_trends(e, {"viewed": (kind("signup"), kind("view")), "bought": (kind("click"), kind("purchase"))}, by=["user_id", "w_start"])
+    return out.select("user_id", "w_start", c("n_viewed").cast("string").alias("n_viewed"), c("n_bought").cast("string").alias("n_bought"))
+
+
+def _linear():  # noqa: ANN202
+    return lambda x: x @ [[0.5], [2.0]] + 1
+
+
+@query("SELECT event_id, round(value * 0.5 + user_id * 2 + 1, 6) AS risk FROM events")
+def score_linear(spark, d):  # noqa: ANN001, ANN201
+    return scoring.score(events(spark, d), _linear, inputs=["value", "user_id"], outputs=["risk"]).select("event_id", F.round("risk", 6).alias("risk"))
+
+
 # ---- functions
 
 @query("""SELECT event_id, abs(-value) AS f_abs, CAST(floor(value) AS BIGINT) AS f_floor, CAST(ceil(value) AS BIGINT) AS f_ceil, CAST(round(value) AS BIGINT) AS f_round, round(sqrt(value), 9) AS f_sqrt,

@@ -60,5 +60,22 @@ def climate(spark: SparkSession, n: int, *, start: str = "2024-01-01 00:00:00",
     )
 
 
+def humidity(spark: SparkSession, n: int, *, start: str = "2024-01-01 00:00:00", zones: int = 4) -> DataFrame:
+    """Generated humidity readings, one every two seconds."""
+    i = F.col("id")
+    at = F.to_timestamp_ntz(F.lit(start)) + F.make_dt_interval(secs=(2 * i).cast("decimal(18,6)"))
+    value = F.greatest(F.lit(0.0), F.least(F.lit(100.0), 45 + 10 * F.cos(i / 400) + F.pmod(F.xxhash64(i, F.lit(7)), F.lit(100)) / 50))
+    return spark.range(n).select(F.lit("HumidityReading").alias("event_type"), i.alias("event_id"), at.alias("ts"), F.concat(F.lit("zone"), (i % zones).cast("string")).alias("zone"), value.alias("value"))
+
+
+def unit_status(spark: SparkSession, n: int, *, start: str = "2024-01-01 00:00:00", units: int = 2) -> DataFrame:
+    """Generated status of climate units, one every five seconds."""
+    i = F.col("id")
+    at = F.to_timestamp_ntz(F.lit(start)) + F.make_dt_interval(secs=(5 * i).cast("decimal(18,6)"))
+    mode = F.when(i % 10 < 6, "cooling").when(i % 10 < 9, "idle").otherwise("heating")
+    power = F.when(mode == "idle", 0.2).otherwise(2.5 + F.pmod(F.xxhash64(i, F.lit(9)), F.lit(100)) / 100)
+    return spark.range(n).select(F.lit("HVACStatus").alias("event_type"), i.alias("event_id"), at.alias("ts"), F.concat(F.lit("unit"), (i % units).cast("string")).alias("unit_id"), mode.alias("mode"), power.alias("power_consumption"))
+
+
 def is_event_line(line: str) -> bool:
     return re.match(_LINE, line) is not None

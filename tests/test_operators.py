@@ -171,3 +171,44 @@ def test_enrich_without_fallback_drops(spark):
     assert basic.enrich(e, ref, key=F.col("user_id"), ref_key="k", fields=["name"]).where("user_id = 2").count() == 0
     got = basic.enrich(e, ref, key=F.col("user_id"), ref_key="k", fields=["name"], fallback={"name": "?"}).where("user_id = 2").select("name", "enrich_status").distinct().collect()
     assert [tuple(r) for r in got] == [("?", "error")]
+
+
+def _broken():
+    def model(x):
+        raise ValueError("no")
+
+    return model
+
+
+def test_scores_and_failures(spark):
+    from sluiceway.operators.scoring import score
+
+    e = frame(spark, [(0, BASE, 1, "A", 3.0), (1, BASE, 1, "A", None)])
+    got = {r.event_id: r.y for r in score(e, lambda: lambda x: x * 2, inputs=["value"], outputs=["y"]).collect()}
+    assert got == {0: 6.0, 1: 0.0}
+    assert [r.y for r in score(e, _broken, inputs=["value"], outputs=["y"]).collect()] == [None, None]
+
+
+def test_numbers_follow_the_order(spark):
+    rows = stream(3, ties=True)
+    got = {r.event_id: r.n for r in windows.numbered(frame(spark, rows), "n").collect()}
+    assert [got[r[0]] for r in sorted(rows, key=lambda r: (r[1], r[0]))] == list(range(1, len(rows) + 1))
+    assert windows.numbered(frame(spark, []), "n").count() == 0
+
+
+def test_many_trends_equal_single_ones(spark):
+    e = frame(spark, stream(8))
+    many = {r.user_id: (r.n_x, r.n_y) for r in trends.many_trends(e, {"x": (F.col("event_type") == "A", F.col("event_type") == "B"), "y": (F.col("event_type") == "C", F.col("event_type") == "D")}, by=["user_id"]).collect()}
+    for k, (a, b) in enumerate((("A", "B"), ("C", "D"))):
+        one = trends.trends(e, F.col("event_type") == a, F.col("event_type") == b, F.col("value"), by=["user_id"])
+        assert {r.user_id: r.n_trends for r in one.collect()} == {u: v[k] for u, v in many.items()}
+
+
+def test_suffix_tree():
+    from sluiceway.operators.forecast import SuffixTree, conformal, hawkes, pruned, waiting_time
+
+    tree = SuffixTree({((), "a"): 50, ((), "b"): 50, (("a",), "b"): 49, (("a",), "a"): 1, (("b",), "a"): 50, (("a", "b"), "a"): 50})
+    assert tree.predict(["b", "a"])["b"] == pytest.approx(49.01 / 50.02) and sum(tree.predict(["x"]).values()) == pytest.approx(1)
+    assert tree.completion(["b"], ["a"], horizon=1) == pytest.approx(tree.predict(["a"])["b"]) and tree.completion(["b", "a"], ["a"]) > 0.99
+    assert ("a", "b") not in pruned(tree).counts and waiting_time(tree, ["b"], ["a"], 2.0) == pytest.approx(2.0 / tree.predict(["a"])["b"])
+    assert conformal([0.1] * 9 + [0.9], 0.9) == 0.9 and hawkes([1.0], mu=1.0, alpha=0.5, beta=0.0) == [1.0, 1.5]
