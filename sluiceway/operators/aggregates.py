@@ -61,8 +61,11 @@ def count_distinct(x: Column) -> Column:
 
 def ema(x: Column, n: int = EMA_PERIOD, order: Sequence[str] = ORDER) -> Column:
     """Exponential moving average over the group in order, seeded with the first value; for groups of a window's size."""
+    return _folded(F.transform(F.array_sort(F.collect_list(F.when(number(x).isNotNull(), F.struct(*order, number(x).alias("v"))))), lambda s: s["v"]), n)
+
+
+def _folded(values: Column, n: int) -> Column:
     k = 2.0 / (n + 1)
-    values = F.transform(F.array_sort(F.collect_list(F.when(number(x).isNotNull(), F.struct(*order, number(x).alias("v"))))), lambda s: s["v"])
     return F.aggregate(values, F.lit(None).cast("double"), lambda a, v: F.when(a.isNull(), v).otherwise(v * F.lit(k) + a * F.lit(1 - k)))
 
 
@@ -71,3 +74,18 @@ def divide(a: Column, b: Column, *, whole: bool = False) -> Column:
     if whole:
         return F.when(b == 0, F.lit(0).cast("long")).otherwise((a / b).cast("long"))
     return F.when(b == 0, F.lit(float("nan"))).otherwise(a / b)
+
+
+#: Aggregates over an ordered frame, by name: functions of the arguments and the frame.
+FRAMED = {
+    "count": lambda frame, *x: F.count(F.lit(1)).over(frame),
+    "sum": lambda frame, x: F.coalesce(total(x).over(frame), F.lit(0.0)),
+    "avg": lambda frame, x: avg(x).over(frame),
+    "min": lambda frame, x: min_(x).over(frame),
+    "max": lambda frame, x: max_(x).over(frame),
+    "stddev": lambda frame, x: stddev(x).over(frame),
+    "first": lambda frame, x: F.first(x).over(frame),
+    "last": lambda frame, x: F.last(x).over(frame),
+    "count_distinct": lambda frame, x: F.size(F.collect_set(x).over(frame)).cast("long"),
+    "ema": lambda frame, x, n=EMA_PERIOD: _folded(F.collect_list(number(x)).over(frame), n),
+}

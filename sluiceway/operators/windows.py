@@ -5,7 +5,7 @@ A window closes when a later event arrives: with flush=False the trailing partia
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -59,11 +59,16 @@ def count_window(df: DataFrame, n: int, *, keys: Sequence[str] = (), flush: bool
     return out
 
 
-def sliding_count(df: DataFrame, n: int, slide: int, aggs: Mapping[str, Column], *, keys: Sequence[str] = (), order: Sequence[str] = ORDER) -> DataFrame:
+def _framed(agg: Column | Callable[[WindowSpec], Column], frame: WindowSpec) -> Column:
+    """A plain aggregate over the frame; expressions of several are given as functions of the frame."""
+    return agg.over(frame) if isinstance(agg, Column) else agg(frame)
+
+
+def sliding_count(df: DataFrame, n: int, slide: int, aggs: Mapping[str, Column | Callable[[WindowSpec], Column]], *, keys: Sequence[str] = (), order: Sequence[str] = ORDER) -> DataFrame:
     """At rows max(n, slide) + k * slide of a key: the aggregates over the last n rows."""
     spec = _over(keys, order)
     start = max(n, slide)
-    out = df.withColumns({"_rn": F.row_number().over(spec)} | {a: c.over(spec.rowsBetween(-(n - 1), 0)) for a, c in aggs.items()})
+    out = df.withColumns({"_rn": F.row_number().over(spec)} | {a: _framed(c, spec.rowsBetween(-(n - 1), 0)) for a, c in aggs.items()})
     return out.where((F.col("_rn") >= start) & ((F.col("_rn") - start) % slide == 0)).drop("_rn")
 
 
@@ -109,7 +114,7 @@ def tumbling_anchored(df: DataFrame, size_micros: int, *, keys: Sequence[str] =
     return out
 
 
-def sliding_anchored(df: DataFrame, size_micros: int, slide_micros: int, aggs: Mapping[str, Column], *, keys: Sequence[str] = (), order: Sequence[str] = ORDER) -> DataFrame:
+def sliding_anchored(df: DataFrame, size_micros: int, slide_micros: int, aggs: Mapping[str, Column | Callable[[WindowSpec], Column]], *, keys: Sequence[str] = (), order: Sequence[str] = ORDER) -> DataFrame:
     """Aggregates over [t - size, t] at a key's first event and at each event `slide` or more after the last emission.
 
     Events of one timestamp are in each other's contents.
@@ -129,7 +134,7 @@ def sliding_anchored(df: DataFrame, size_micros: int, slide_micros: int, aggs: M
 
     out = scan(df, keys, step, "_emits", "boolean", order=order).withColumn("_us", micros("ts"))
     frame = Window.partitionBy(*keys).orderBy("_us").rangeBetween(-size_micros, 0)
-    return out.withColumns({a: c.over(frame) for a, c in aggs.items()}).where("_emits").drop("_emits", "_us")
+    return out.withColumns({a: _framed(c, frame) for a, c in aggs.items()}).where("_emits").drop("_emits", "_us")
 
 
 def delayed(df: DataFrame, n: int, column: str, *, keys: Sequence[str] = (), order: Sequence[str] = ORDER) -> Column:

@@ -6,7 +6,7 @@ import functools
 from collections.abc import Callable, Mapping
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, WindowSpec
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -15,6 +15,7 @@ from ..operators import aggregates as A
 from ..operators import basic, forecast, joins, patterns, trends, windows
 from ..operators.basic import ORDER
 from ..operators.patterns import Step
+from ..sources.sinks import multi_sink, sink_for
 from .interpreter import emitted
 from .syntax import Node, ProgramError, parse
 
@@ -211,21 +212,21 @@ class Scope:
 AGGREGATES: dict[str, Callable[..., Column]] = {"sum": A.sum_, "avg": A.avg, "min": A.min_, "max": A.max_, "stddev": A.stddev, "first": A.first, "last": A.last, "count_distinct": A.count_distinct}
 
 
-def aggregate(x: Node, scope: Scope) -> Column:
-    """An aggregate expression: calls of aggregates, joined by arithmetic."""
+def aggregate(x: Node, scope: Scope, frame: WindowSpec | None = None) -> Column:
+    """An aggregate expression: calls of aggregates, joined by arithmetic; of groups, or over a frame."""
     if x.kind == "call" and x.f.kind == "name":
-        n = x.f.name
+        n, args = x.f.name, list(x.args)
+        if n == "count" and args and args[0].kind == "call" and args[0].f.name == "distinct":
+            n, args = "count_distinct", args[0].args
         if n == "count":
-            inner = x.args[0] if x.args else None
-            if inner is not None and inner.kind == "call" and inner.f.name == "distinct":
-                return A.count_distinct(scope.column(inner.args[0]))
-            return A.count()
+            return A.count() if frame is None else A.FRAMED[n](frame)
         if n == "ema":
-            return A.ema(scope.column(x.args[0]), x.args[1].value if len(x.args) > 1 else A.EMA_PERIOD)
+            period = args[1].value if len(args) > 1 else A.EMA_PERIOD
+            return A.ema(scope.column(args[0]), period) if frame is None else A.FRAMED[n](frame, scope.column(args[0]), period)
         if n in AGGREGATES:
-            return AGGREGATES[n](scope.column(x.args[0]))
+            return AGGREGATES[n](scope.column(args[0])) if frame is None else A.FRAMED[n](frame, scope.column(args[0]))
     if x.kind == "binary" and x.op in "+-*/":
-        a, b = aggregate(x.a, scope), aggregate(x.b, scope)
+        a, b = aggregate(x.a, scope, frame), aggregate(x.b, scope, frame)
         return {"+": lambda: a + b, "-": lambda: a - b, "*": lambda: a * b, "/": lambda: A.divide(a, b)}[x.op]()
     if x.kind == "literal":
         return scope.column(x)
@@ -299,6 +300,15 @@ class Program:
             self.open.pop()
         return self.made[name]
 
+    def deliver(self, name: str) -> None:
+        """Writes a stream to the connectors that its .to(...) operations name, in one evaluation."""
+        df = self.stream(name)
+        made = []
+        for o in self.sinks.get(name, []):
+            c = self.connectors[o.target]
+            made.append(sink_for(c.type, {k: str(v.value) for k, v in {**c.options, **o.options}.items()}))
+        multi_sink(made)(df)
+
     def scan(self, name: str) -> DataFrame:
         if name in self.streams:
             return self.stream(name)
@@ -439,7 +449,7 @@ class Program:
     def _aggregate(self, st: State, o: Node) -> None:
         scope, keys = self.scope(st.df), [st.key] if st.key else []
         if st.window is not None and st.window.slide is not None:
-            named = {n: aggregate(x, scope) for n, x in o.items.items()}
+            named = {n: functools.partial(aggregate, x, scope) for n, x in o.items.items()}
             if st.window.size.kind == "duration":
                 st.df = windows.sliding_anchored(st.df, st.window.size.micros, st.window.slide.micros, named, keys=keys)
             else:

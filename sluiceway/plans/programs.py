@@ -120,3 +120,67 @@ def dsl_enrich(spark, d):  # noqa: ANN001, ANN201
             .enrich(Nations, key: c_nationkey, fields: [n_name])
             .select(c_custkey, n_name)
     """, spark, tables=tables).stream("Rich")
+
+
+@query(ORACLES["session"])
+def dsl_session(spark, d):  # noqa: ANN001, ANN201
+    e = events(spark, d)
+    return Program("""
+        stream Visits = all_events
+            .partition_by(user_id)
+            .window(session: 12h)
+            .aggregate(n: count(), opened: first(ts), closed: last(ts))
+    """, spark, tables={"all_events": e}).stream("Visits").withColumn("w_id", F.col("w_id")).select("user_id", "w_id", "n", "opened", "closed")
+
+
+@query(ORACLES["sliding_count"])
+def dsl_sliding(spark, d):  # noqa: ANN001, ANN201
+    out = Program("""
+        stream Last5 = all_events
+            .partition_by(user_id)
+            .window(5, sliding: 3)
+            .aggregate(total: sum(value))
+    """, spark, tables={"all_events": events(spark, d)}).stream("Last5")
+    return out.select("event_id", "user_id", F.round("total", 6).alias("total"))
+
+
+@query(ORACLES["and_pair"])
+def dsl_and(spark, d):  # noqa: ANN001, ANN201
+    return run(spark, d, """
+        pattern Both = signup AND click within 1d partition by user_id
+        stream Pairs = Both.select(a_id: first.event_id, b_id: second.event_id)
+    """, "Pairs")
+
+
+@query("SELECT event_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events WHERE event_type = 'purchase') WHERE n = 1 ORDER BY ts, event_id LIMIT 20")
+def dsl_distinct_limit(spark, d):  # noqa: ANN001, ANN201
+    return run(spark, d, "stream Firsts = purchase.distinct(user_id).limit(20)", "Firsts").select("event_id")
+
+
+@query("""SELECT event_id FROM events WHERE user_id IN (SELECT user_id FROM events WHERE event_type = 'purchase' GROUP BY user_id HAVING max(value) > 300) AND event_type = 'purchase'""")
+def dsl_lambda(spark, d):  # noqa: ANN001, ANN201
+    return run(spark, d, """
+        stream Rich = purchase
+            .partition_by(user_id)
+            .pattern(big: es => es.filter(e => e.value > 300).len() > 0)
+            .select(event_id)
+    """, "Rich")
+
+
+@query("""SELECT a.event_id AS a_id, r.event_id AS b_id FROM events a JOIN events r ON a.user_id = r.user_id AND a.event_type = 'signup' AND r.event_type = 'view'
+ AND (r.ts, r.event_id) > (a.ts, a.event_id) AND r.ts <= a.ts + INTERVAL 1 DAY""")
+def dsl_kleene_tail(spark, d):  # noqa: ANN001, ANN201
+    return run(spark, d, """
+        stream Seen = signup as a -> all view where user_id == a.user_id as v .within(1d)
+            .emit(a_id: a.event_id, b_id: v.event_id)
+    """, "Seen")
+
+
+@query()
+def dsl_forecast(spark, d):  # noqa: ANN001, ANN201
+    return run(spark, d, """
+        stream Soon = view as v -> click where user_id == v.user_id as c -> purchase where user_id == c.user_id as p
+            .within(1d)
+            .forecast(confidence: 0.3, max_depth: 2)
+            .where(forecast_probability > 0.3)
+    """, "Soon").select("event_id", F.round("forecast_probability", 9).alias("forecast_probability"))

@@ -53,3 +53,9 @@ def test_declarations(spark, row):
 def test_derived_streams_are_planned_once(spark, row):
     p = Program("stream S = A.where(i > 1)\nstream T = S.select(i)\nstream U = S.select(j)", spark, tables={"A": row})
     assert p.stream("T").columns == ["i"] and p.stream("U").columns == ["j"] and p.stream("S") is p.stream("S")
+
+
+def test_streams_go_to_their_connectors(spark, row, tmp_path):
+    p = Program(f'connector Out = file(path: "{tmp_path}/out")\nstream S = A.select(i, s).to(Out)\n', spark, tables={"A": row})
+    p.deliver("S")
+    assert spark.read.text(f"{tmp_path}/out").first().value == '{"i":7,"s":"héllo"}'
