@@ -13,11 +13,13 @@ from .windows import micros
 DEFAULT_WINDOW = 60_000_000
 
 
-def latest_join(sources: Mapping[str, tuple[DataFrame, str]], *, window_micros: int = DEFAULT_WINDOW) -> DataFrame:
+def latest_join(sources: Mapping[str, tuple[DataFrame, str]], *, window_micros: int = DEFAULT_WINDOW, split: int | None = None) -> DataFrame:
     """On each arrival, the most recent event of every source with the same key within the window, as structs.
 
     `sources` gives (frame, key column) by name. No join: sources are united and each keeps its last event along
-    the key, so the work grows with the events, however many share a key.
+    the key, so the work grows with the events. split: a key's events are dealt out by slices of `split` windows, for
+    keys that hold a large share of them; the events of a slice's last window go to the next slice as well, which is
+    all it can look back to, so the rows are the same.
     """
     names = list(sources)
     parts = []
@@ -25,10 +27,16 @@ def latest_join(sources: Mapping[str, tuple[DataFrame, str]], *, window_micros:
         own = F.struct(*df.columns)
         parts.append(df.select(F.col(key).cast("string").alias("_key"), F.col("ts").alias("_ts"), F.col("event_id").alias("_id"), *[(own if n == name else F.lit(None)).alias(n) for n in names], F.lit(names.index(name)).alias("_src")))
     union = functools.reduce(lambda a, b: a.unionByName(b), parts)
-    spec = Window.partitionBy("_key").orderBy("_ts", "_id", "_src").rowsBetween(Window.unboundedPreceding, 0)
+    keys, own = ["_key"], F.lit(True)
+    if split:
+        width, us = window_micros * split, micros("_ts")
+        slice_ = F.floor(us / width)
+        union = union.withColumn("_slice", F.explode(F.when((slice_ + 1) * width - us <= window_micros, F.array(slice_, slice_ + 1)).otherwise(F.array(slice_))))
+        keys, own = ["_key", "_slice"], F.col("_slice") == slice_
+    spec = Window.partitionBy(*keys).orderBy("_ts", "_id", "_src").rowsBetween(Window.unboundedPreceding, 0)
     out = union.withColumns({n: F.last(n, ignorenulls=True).over(spec) for n in names})
     fresh = [F.col(n).isNotNull() & (micros(F.col(f"{n}.ts")) >= micros("_ts") - window_micros) for n in names]
-    return out.where(functools.reduce(Column.__and__, fresh)).select(F.col("_key").alias("key"), F.col("_ts").alias("ts"), *names)
+    return out.where(functools.reduce(Column.__and__, fresh, own)).select(F.col("_key").alias("key"), F.col("_ts").alias("ts"), *names)
 
 
 def bucketed(df: DataFrame, width: int, ahead: bool, ts: str = "ts") -> DataFrame:

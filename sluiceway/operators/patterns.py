@@ -62,24 +62,36 @@ def _earlier(value: Column, key: Sequence[str], order: Sequence[str]) -> Column:
     return F.last(value, ignorenulls=True).over(spec.rowsBetween(Window.unboundedPreceding, -1))
 
 
-def sequence(events: DataFrame, steps: Sequence[Step], *, key: str, within_micros: int | None = None, unless: Local | None = None, strict: bool = False, order: Sequence[str] = ORDER) -> DataFrame:
+def sequence(events: DataFrame, steps: Sequence[Step], *, key: str, within_micros: int | None = None, unless: Local | None = None, strict: bool = False, split: int | None = None, order: Sequence[str] = ORDER) -> DataFrame:
     """Matches of the steps for each key: a struct column for each alias (of a Kleene step: its last event, and
     `<alias>_count`). With `unless`, an event that meets it after the start, up to and including the last,
     ends the run. strict: each step takes the very next event of the key or none.
 
     An optional step is null if the next step's event comes first.
+
+    split: for keys that hold a large share of the events. A key's events are dealt out by slices of time, `split`
+    time limits long; the events of a slice's first time limit go to the slice before as well, so every run
+    finds all it can reach in the slice of its start, and the matches are the same.
     """
+    if split and within_micros is None:
+        raise ValueError("slices need a time limit")
     fields = events.columns
     row = F.struct(*[F.col(c) for c in fields])
     kleene = {s.alias for s in steps[1:] if s.kleene}
-    df = events
+    df, keys = events, [key]
+    if split:
+        width = within_micros * split
+        own_slice = F.floor(micros("ts") / width)
+        shared = micros("ts") - own_slice * width < within_micros
+        df = events.withColumn("_slice", F.explode(F.when(shared, F.array(own_slice - 1, own_slice)).otherwise(F.array(own_slice))))
+        keys = [key, "_slice"]
     # What lies before an event, for Kleene steps: the last event that fits and how many have so far.
     for s in steps[1:]:
         if s.kleene:
-            spec = Window.partitionBy(key).orderBy(*order)
+            spec = Window.partitionBy(*keys).orderBy(*order)
             df = df.withColumns({
                 f"_n_{s.alias}": F.sum(F.when(s.where(_own), 1).otherwise(0)).over(spec.rowsBetween(Window.unboundedPreceding, 0)),
-                f"_p_{s.alias}": _earlier(F.when(s.where(_own), row), [key], order),
+                f"_p_{s.alias}": _earlier(F.when(s.where(_own), row), keys, order),
             })
     carried = [c for s in steps[1:] if s.kleene for c in (f"_n_{s.alias}", f"_p_{s.alias}")]
     rest: Column | None = None  # the struct of the steps after the present one, at every row
@@ -89,17 +101,17 @@ def sequence(events: DataFrame, steps: Sequence[Step], *, key: str, within_micro
         inner = [row.alias("e"), *[F.col(c) for c in carried]] + ([rest.alias("rest")] if rest is not None else [])
         fits = s.where(_own)
         here = F.when(fits if rest is None else fits & rest.isNotNull(), F.struct(*inner)) if strict else F.when(fits, F.struct(*inner))
-        found = F.lead(here).over(Window.partitionBy(key).orderBy(*order)) if strict else _later(here, [key], order)
+        found = F.lead(here).over(Window.partitionBy(*keys).orderBy(*order)) if strict else _later(here, keys, order)
         df = df.withColumn(name, found)
         if s.optional and rest is not None:
             # The step counts only if it comes before the next one; the chain behind it starts at the same next event.
             nxt = rest
             before = F.struct(*[F.col(name)["e"][c] for c in order]) < F.struct(*[nxt["e"][c] for c in order])
-            df = df.withColumn(name, F.when(nxt.isNotNull(), F.struct(F.when(F.col(name).isNotNull() & before, F.col(name)["e"]).alias("e"), *[F.lit(None).cast(df.schema[c].dataType).alias(c) for c in carried], nxt.alias("rest"))))
+            df = df.withColumn(name, F.when(nxt.isNotNull(), F.struct(F.when(F.col(name).isNotNull() & before, F.col(name)["e"]).alias("e"), *[F.col(name)[c].alias(c) for c in carried], nxt.alias("rest"))))
         rest = F.col(name)
     if unless is not None:
-        df = df.withColumn("_bad", _later(F.when(unless(_own), F.struct(*[F.col(c) for c in order])), [key], order))
-    df = df.where(steps[0].where(_own))
+        df = df.withColumn("_bad", _later(F.when(unless(_own), F.struct(*[F.col(c) for c in order])), keys, order))
+    df = df.where(steps[0].where(_own) & ((F.col("_slice") == own_slice) if split else F.lit(True)))
     out, path, last = {steps[0].alias: row}, rest, row
     held: list[tuple[Step, Column]] = []
     for k, s in enumerate(steps[1:], 2):
@@ -110,8 +122,9 @@ def sequence(events: DataFrame, steps: Sequence[Step], *, key: str, within_micro
         e, after = p["e"], held[k + 1][1] if k + 1 < len(held) else None
         if s.alias in kleene and after is not None:
             # First event of the step, then the closing event; what was absorbed lies between.
-            out[s.alias] = F.coalesce(after[f"_p_{s.alias}"], e)
-            out[f"{s.alias}_count"] = (after[f"_n_{s.alias}"] - F.when(s.where(lambda c, a=after: a["e"][c]), 1).otherwise(0) - p[f"_n_{s.alias}"] + 1).cast("long")
+            n = after[f"_n_{s.alias}"] - F.when(s.where(lambda c, a=after: a["e"][c]), 1).otherwise(0) - p[f"_n_{s.alias}"] + 1
+            out[s.alias] = F.when(e.isNotNull(), F.coalesce(after[f"_p_{s.alias}"], e))
+            out[f"{s.alias}_count"] = F.when(e.isNotNull(), n).otherwise(0).cast("long")
         else:
             out[s.alias] = e
         if not s.optional:

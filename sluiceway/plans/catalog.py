@@ -250,6 +250,12 @@ def seq3(spark, d):  # noqa: ANN001, ANN201
     return out.select(c("a.event_id").alias("a_id"), c("b.event_id").alias("b_id"), c("c.event_id").alias("c_id"))
 
 
+@query(ORACLES["seq3"])
+def seq_hot_keys(spark, d):  # noqa: ANN001, ANN201
+    out = _run(spark, d, [Step("a", of_type("view")), Step("b", of_type("click")), Step("c", of_type("purchase"))], within_micros=2 * DAY, split=2)
+    return out.select(c("a.event_id").alias("a_id"), c("b.event_id").alias("b_id"), c("c.event_id").alias("c_id"))
+
+
 @query(f"""SELECT a.event_id AS a_id, b.event_id AS b_id FROM events a, LATERAL ({_next('a', 'purchase')}) b WHERE a.event_type = 'view' AND b.ts <= a.ts + INTERVAL 1 DAY
  AND NOT EXISTS (SELECT 1 FROM events x WHERE x.user_id = a.user_id AND x.event_type = 'error' AND (x.ts, x.event_id) > (a.ts, a.event_id) AND (x.ts, x.event_id) <= (b.ts, b.event_id))""")
 def seq_not(spark, d):  # noqa: ANN001, ANN201

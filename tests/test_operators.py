@@ -63,6 +63,34 @@ def test_sequences(spark, seed, steps, bad):
     assert got == greedy(rows, steps, dt.timedelta(minutes=60), bad)
 
 
+@pytest.mark.parametrize("split", [1, 3])
+@pytest.mark.parametrize(("steps", "bad"), [("ABC", None), ("AB", "D")])
+def test_slices_of_hot_keys_change_nothing(spark, steps, bad, split):
+    rows = stream(11, n=120, users=1, ties=True)
+    made = patterns.sequence(frame(spark, rows), [Step(f"s{k}", of_type(t)) for k, t in enumerate(steps)], key="user_id", within_micros=45 * MINUTE, unless=of_type(bad) if bad else None, split=split)
+    got = sorted(tuple(r) for r in made.select(*[F.col(f"s{k}.event_id") for k in range(len(steps))]).collect())
+    assert got and got == greedy(rows, steps, dt.timedelta(minutes=45), bad)
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_kleene_of_any_number(spark, seed):
+    rows = stream(seed)
+    steps = [Step("a", of_type("A")), Step("b", of_type("B"), kleene=True, optional=True), Step("c", of_type("C"))]
+    got = {r[0]: tuple(r)[1:] for r in patterns.sequence(frame(spark, rows), steps, key="user_id").select("a.event_id", F.col("b.event_id"), F.col("c.event_id"), "b_count").collect()}
+    expected = {}
+    for events in by_user(rows):
+        for k, a in enumerate(events):
+            if a[3] == "A":
+                held = []
+                for e in events[k + 1 :]:
+                    if e[3] == "B":
+                        held.append(e[0])
+                    elif e[3] == "C":
+                        expected[a[0]] = (held[-1] if held else None, e[0], len(held))
+                        break
+    assert got == expected
+
+
 @pytest.mark.parametrize("seed", range(3))
 def test_kleene_between_two_steps(spark, seed):
     rows = stream(seed)
@@ -146,10 +174,11 @@ def test_aggregates_skip_missing_numbers(spark):
     assert tuple(r) == (0.0, None)
 
 
-def test_latest_join_against_replay(spark):
+@pytest.mark.parametrize("split", [None, 1, 3])
+def test_latest_join_against_replay(spark, split):
     rows = stream(9, types="AB")
     e = frame(spark, rows)
-    got = sorted((r.ts, r.a.event_id, r.b.event_id) for r in joins.latest_join({"a": (e.where("event_type = 'A'"), "user_id"), "b": (e.where("event_type = 'B'"), "user_id")}, window_micros=15 * MINUTE).collect())
+    got = sorted((r.ts, r.a.event_id, r.b.event_id) for r in joins.latest_join({"a": (e.where("event_type = 'A'"), "user_id"), "b": (e.where("event_type = 'B'"), "user_id")}, window_micros=15 * MINUTE, split=split).collect())
     expected = []
     for events in by_user(rows):
         last = {}
