@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .basic import ORDER
-from .joins import interval_join
+from .joins import bucketed, interval_join
 from .windows import micros
 
 #: A condition on an event's own columns.
@@ -144,6 +144,23 @@ def sequence_by_condition(starts: DataFrame, candidates: DataFrame, cond: Column
     return pairs.groupBy(F.col("l.event_id").alias("_id")).agg(F.first("l").alias("l"), first.alias("r")).drop("_id")
 
 
+def every_match(events: DataFrame, steps: Sequence[Step], *, key: str, within_micros: int) -> DataFrame:
+    """All combinations of events that meet the steps in order within the time, not only the greedy ones.
+
+    The result grows with the product of what fits into a time limit; each step is an interval join on key and bucket.
+    """
+    first = steps[0].alias
+    row = F.struct(*[F.col(c) for c in events.columns])
+    out = events.where(steps[0].where(_own)).select(row.alias(first), F.struct("ts", "event_id").alias("_prev"))
+    for s in steps[1:]:
+        left = bucketed(out.withColumn("_t", F.col(f"{first}.ts")), within_micros, True, "_t")
+        right = bucketed(events.where(s.where(_own)).select(row.alias(s.alias)).withColumn("_t2", F.col(f"{s.alias}.ts")), within_micros, False, "_t2").withColumnRenamed("_bucket", "_bucket2")
+        later = F.struct(f"{s.alias}.ts", f"{s.alias}.event_id")
+        on = (F.col(f"{first}.{key}") == F.col(f"{s.alias}.{key}")) & (F.col("_bucket") == F.col("_bucket2")) & (later > F.col("_prev")) & (micros("_t2") <= micros("_t") + within_micros)
+        out = left.join(right, on).withColumn("_prev", later).drop("_bucket", "_bucket2", "_t", "_t2")
+    return out.drop("_prev")
+
+
 def kleene_tail(starts: DataFrame, candidates: DataFrame, *, key: str, within_micros: int, extra: Column | None = None) -> DataFrame:
     """A match (l, r) for every later candidate within the time."""
     return interval_join(starts, candidates, key=key, within_micros=within_micros, extra=extra)

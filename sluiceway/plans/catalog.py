@@ -218,6 +218,14 @@ def absence(spark, d):  # noqa: ANN001, ANN201
     return joins.absence(e.where("event_type = 'signup'"), e.where("event_type = 'purchase'"), key="user_id", within_micros=DAY).select("event_id")
 
 
+@query("""SELECT event_id FROM events WHERE event_type = 'view' AND user_id IN (SELECT user_id FROM events WHERE event_type = 'purchase')
+ INTERSECT SELECT event_id FROM events WHERE value > 20""")
+def set_operations(spark, d):  # noqa: ANN001, ANN201
+    e = events(spark, d)
+    buyers = e.where("event_type = 'purchase'").select(c("user_id").alias("u")).distinct()
+    return e.where("event_type = 'view'").join(buyers, c("user_id") == c("u"), "left_semi").select("event_id").intersect(e.where("value > 20").select("event_id"))
+
+
 @query("SELECT o_orderkey, CAST(count(l_linenumber) AS BIGINT) AS n FROM orders LEFT JOIN lineitem ON o_orderkey = l_orderkey AND l_shipdate <= o_orderdate + INTERVAL 30 DAY GROUP BY o_orderkey")
 def order_shipments(spark, d):  # noqa: ANN001, ANN201
     o, x = table(spark, d, "orders"), table(spark, d, "lineitem")
@@ -278,6 +286,13 @@ def seq_condition(spark, d):  # noqa: ANN001, ANN201
     return out.select(c("l.event_id").alias("a_id"), c("r.event_id").alias("b_id"))
 
 
+@query("""SELECT a.event_id AS a_id, b.event_id AS b_id, k.event_id AS c_id FROM events a JOIN events b ON a.user_id = b.user_id AND a.event_type = 'view' AND b.event_type = 'click' AND (b.ts, b.event_id) > (a.ts, a.event_id) AND b.ts <= a.ts + INTERVAL 1 DAY
+ JOIN events k ON k.user_id = a.user_id AND k.event_type = 'purchase' AND (k.ts, k.event_id) > (b.ts, b.event_id) AND k.ts <= a.ts + INTERVAL 1 DAY""")
+def seq_every_match(spark, d):  # noqa: ANN001, ANN201
+    out = patterns.every_match(events(spark, d), [Step("a", of_type("view")), Step("b", of_type("click")), Step("c", of_type("purchase"))], key="user_id", within_micros=DAY)
+    return out.select(c("a.event_id").alias("a_id"), c("b.event_id").alias("b_id"), c("c.event_id").alias("c_id"))
+
+
 @query(f"""SELECT a.event_id AS a_id, b.event_id AS b_id FROM events a, LATERAL ({_next('a', 'click')}) b WHERE a.event_type = 'signup' AND b.ts <= a.ts + INTERVAL 1 DAY
  UNION ALL SELECT a.event_id, b.event_id FROM events a, LATERAL ({_next('a', 'signup')}) b WHERE a.event_type = 'click' AND b.ts <= a.ts + INTERVAL 1 DAY""")
 def and_pair(spark, d):  # noqa: ANN001, ANN201
