@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import small_batches, table
+from .common import cut, small_batches, table
 
 #: Labelled rows of each label that the model may be fitted on.
 MOST = 3_000
@@ -142,8 +142,9 @@ class Model:
 
 def fit(rows: list[tuple[str, int]], share: float) -> Model | None:
     """The model from (text, label) rows; share is that of toxic rows before they were bounded."""
-    half = [[t for k, (t, y) in enumerate(rows) if y == label and k % 4 != 3] for label in (0, 1)]
-    back = [[t for k, (t, y) in enumerate(rows) if y == label and k % 4 == 3] for label in (0, 1)]
+    own = [[t for t, y in rows if y == label] for label in (0, 1)]
+    half = [[t for k, t in enumerate(texts) if k % 4 != 3] for texts in own]
+    back = [[t for k, t in enumerate(texts) if k % 4 == 3] for texts in own]
     if not all(half) or not all(back):
         return None
     model = Model(Odds(half[1], half[0]), 1.0, 0.0, 0.0, 1.0)
@@ -171,13 +172,28 @@ def fit(rows: list[tuple[str, int]], share: float) -> Model | None:
         if np.abs(step).max() < 1e-9:
             break
     model.a, model.b = float(ab[0]), float(ab[1])
-    model.odds = Odds([t for t, y_ in rows if y_ == 1], [t for t, y_ in rows if y_ == 0])
+    model.odds = Odds(own[1], own[0])
     model.known = {}
     return model
 
 
-def train(labelled: DataFrame, *, text: str = "text", label: str = "label", most: int = MOST) -> bytes | None:
-    """The pickled model from at most `most` rows of each label (0, 1), fitted in one task of an executor."""
+def sampled(labels: DataFrame, *, doc_id: str = "doc_id", label: str = "label", most: int = MOST) -> tuple[DataFrame, float]:
+    """doc_id, label of at most `most` labelled documents of each label, and the share of label 1 among all of them.
+
+    Only ids and labels move; an id with two labels counts as toxic.
+    """
+    known = labels.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{label}`").alias("label")).where("doc_id IS NOT NULL AND label IN (0, 1)").groupBy("doc_id").agg(F.max("label").alias("label"))
+    known = cut(known)
+    sizes = {r.label: r.n for r in known.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
+    picks = [known.where(F.col("label") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most) for k in (0, 1)]
+    return picks[0].unionAll(picks[1]), sizes.get(1, 0) / max(1, sum(sizes.values()))
+
+
+def train(labelled: DataFrame, *, text: str = "text", label: str = "label", most: int = MOST, share: float | None = None) -> bytes | None:
+    """The pickled model from at most `most` rows of each label (0, 1), fitted in one task of an executor.
+
+    share: that of label 1 where the rows come from; by default theirs.
+    """
     small_batches(labelled.sparkSession)
     rows = labelled.select(F.col(f"`{text}`").cast("string").alias("text"), F.col(f"`{label}`").cast("int").alias("label")).where("text IS NOT NULL AND label IN (0, 1)")
     counts = {r.label: r.n for r in rows.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
@@ -185,7 +201,7 @@ def train(labelled: DataFrame, *, text: str = "text", label: str = "label", most
         return None
     order = F.xxhash64("text")
     picks = [rows.where(F.col("label") == k).orderBy(order, "text").limit(most) for k in (0, 1)]
-    share = counts[1] / (counts[0] + counts[1])
+    share = counts[1] / (counts[0] + counts[1]) if share is None else share
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = [(t, y) for b in batches for t, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)]
@@ -224,8 +240,10 @@ def held_out(doc_id: Column) -> Column:
 
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
-    known = labels.where(~held_out(F.col("doc_id")) & F.col("toxic").isin(0, 1)).groupBy("doc_id").agg(F.max("toxic").alias("label"))
-    model = train(docs.select("doc_id", "text").join(known, "doc_id").select("text", "label"))
+    ids, share = sampled(labels.where(~held_out(F.col("doc_id"))), label="toxic")
+    # At most 2 * MOST ids are broadcast; only their texts leave the scan.
+    rows = cut(docs.select("doc_id", "text").join(F.broadcast(ids.withColumnRenamed("doc_id", "id")), F.col("doc_id") == F.col("id")).select("text", "label"))
+    model = train(rows, share=share)
     return score(docs, model).select("doc_id", F.coalesce(held_out(F.col("doc_id")), F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"), F.size("passages").alias("n_passages"))
 
 
