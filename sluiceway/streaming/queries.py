@@ -93,6 +93,57 @@ class Runs(StatefulProcessor):
         pass
 
 
+class Latest(StatefulProcessor):
+    """The latest event of every source within the window, on each arrival in event order."""
+
+    def __init__(self, sources: Sequence[str], window_micros: int):
+        self.sources, self.window = list(sources), window_micros
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.waiting = handle.getListState("waiting", "us long, event_id long, src string")
+        self.last = handle.getMapState("last", "src string", "us long, event_id long")
+
+    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        low = None
+        for pdf in rows:
+            for us, i, src in zip(pdf["us"].tolist(), pdf["event_id"].tolist(), pdf["src"].tolist(), strict=True):
+                self.waiting.appendValue((us, i, src))
+                low = us if low is None else min(low, us)
+        if low is not None:
+            self.handle.registerTimer(max(timerValues.getCurrentWatermarkInMs() + 1, low // 1000 + 1))
+        yield pd.DataFrame({"key": pd.Series([], dtype=object), "us": pd.Series([], dtype="int64"), "ids": pd.Series([], dtype=object)})
+
+    def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        mark = timerValues.getCurrentWatermarkInMs() * 1000
+        held = sorted(tuple(x) for x in self.waiting.get()) if self.waiting.exists() else []
+        last = {s: tuple(self.last.getValue((s,))) for s in self.sources if self.last.containsKey((s,))}
+        out = []
+        for us, i, src in (x for x in held if x[0] <= mark):
+            last[src] = (us, i)
+            if len(last) == len(self.sources) and all(at >= us - self.window for at, _ in last.values()):
+                out.append((str(key[0]), us, [last[s][1] for s in self.sources]))
+        left = [x for x in held if x[0] > mark]
+        self.waiting.clear()
+        if left:
+            self.waiting.put(left)
+            self.handle.registerTimer(max(timerValues.getCurrentWatermarkInMs() + 1, left[0][0] // 1000 + 1))
+        for s, v in last.items():
+            self.last.updateValue((s,), v)
+        if out:
+            yield pd.DataFrame(out, columns=["key", "us", "ids"])
+
+    def close(self) -> None:
+        pass
+
+
+def latest_join(events: DataFrame, sources: Sequence[str], *, key: str, window_micros: int, source: str = "event_type") -> DataFrame:
+    """key, us (of the arrival), ids: the event ids of the latest event of each source, in their order."""
+    ship(events.sparkSession)
+    rows = events.where(F.col(source).isin(list(sources))).select(F.col(key).alias("key"), F.unix_micros("ts").alias("us"), "ts", "event_id", F.col(source).alias("src"))
+    return rows.groupBy("key").transformWithStateInPandas(Latest(sources, window_micros), "key string, us long, ids array<long>", "Append", "EventTime")
+
+
 def sequence(events: DataFrame, steps: Sequence[str], *, key: str, within_micros: int, unless: str | None = None) -> DataFrame:
     """key, ids: the event ids of each match. `events` has a watermark; the session uses the RocksDB state store."""
     ship(events.sparkSession)

@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from sluiceway.operators import patterns
+from sluiceway.operators import joins, patterns
 from sluiceway.operators.patterns import Step, of_type
 from sluiceway.sources import events as E
 from sluiceway.sources import sinks
@@ -64,3 +64,13 @@ def test_streaming_sequences_equal_batch(spark, source, tmp_path):
     made = patterns.sequence(batch, [Step(f"s{k}", of_type(t)) for k, t in enumerate(steps)], key="user_id", within_micros=3 * day, unless=of_type("error"))
     whole = {tuple(r) for r in made.select(*[F.col(f"s{k}.event_id") for k in range(3)]).collect()}
     assert got and got <= whole and len(got) >= 0.5 * len(whole)
+
+
+def test_streaming_latest_join_equals_batch(spark, source, tmp_path):
+    batch, live = source
+    window = 12 * 3_600_000_000
+    made = S.latest_join(S.on_time(live, "1 day"), ["view", "click"], key="user_id", window_micros=window)
+    got = {(r.key, tuple(r.ids)) for r in drain(spark, made, tmp_path, "j").collect()}
+    whole = joins.latest_join({t: (batch.where(F.col("event_type") == t), "user_id") for t in ("view", "click")}, window_micros=window)
+    want = {(r.key, (r.view.event_id, r.click.event_id)) for r in whole.collect()}
+    assert got and got <= want and len(got) >= 0.5 * len(want)
