@@ -17,7 +17,7 @@ from __future__ import annotations
 import functools
 import pickle
 import sys
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from .common import small_batches, table
 
-N_GRAMS, BUCKETS = (1, 2, 3), 1 << 15
+N_GRAMS, BUCKETS = (1, 2, 3), 1 << 15  # buckets are numbered in 16 bits
 
 #: Labelled rows the model may be fitted on: of each language, and in all; languages beyond the largest LANGUAGES are not learned.
 PER_LANGUAGE, MOST, LANGUAGES = 1_500, 12_000, 200
@@ -91,12 +91,24 @@ class Model:
         return self.names[k], float(p[k] / p.sum())
 
 
-def fit(rows: list[tuple[str, str]]) -> Model | None:
-    """The model from (text, language) rows: every fifth is held back for the temperature."""
-    data = [(f, y) for t, y in rows if (f := features(t)) is not None]
-    names = sorted({y for _, y in data})
+def fit(rows: Iterable[tuple[str, str]]) -> Model | None:
+    """The model from (text, language) rows: every fifth is held back for the temperature.
+
+    Texts are turned to features as they come and not kept; features take six bytes each.
+    """
+    ats, xs, labels = [], [], []
+    for text, label in rows:
+        f = features(text)
+        if f is not None:
+            ats.append(f[0].astype(np.uint16))
+            xs.append(f[1].astype(np.float32))
+            labels.append(label)
+    names = sorted(set(labels))
     if not names:
         return None
+    cuts = np.cumsum([len(a) for a in ats])
+    ats, xs = np.concatenate(ats), np.concatenate(xs)
+    data = [((ats[hi - n : hi], xs[hi - n : hi]), y) for hi, n, y in zip(cuts.tolist(), np.diff(cuts, prepend=0).tolist(), labels, strict=True)]
     own = [x for k, x in enumerate(data) if k % 5] or data
     back = [x for k, x in enumerate(data) if not k % 5]
     df = np.zeros(BUCKETS)
@@ -115,7 +127,7 @@ def fit(rows: list[tuple[str, str]]) -> Model | None:
             (at, x), y = own[k]
             x = x * idf[at]
             x = np.append(x / np.sqrt(x @ x), 1.0)
-            at = np.append(at, BUCKETS)  # the bias
+            at = np.append(at.astype(np.int64), BUCKETS)  # the bias
             w = leader(z[at], n[at])
             s = x @ w
             p = np.exp(s - s.max())
@@ -153,8 +165,8 @@ def train(labelled: DataFrame, *, text: str = "text", lang: str = "lang", per_la
     picked = rows.where(F.pmod(order, F.lit(steps)) < share).orderBy(order, "text", "lang").limit(most)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [(t, y) for b in batches for t, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)]
-        yield pa.RecordBatch.from_pylist([{"model": pickle.dumps(fit(held))}], schema=pa.schema([("model", pa.binary())]))
+        rows = ((t, y) for b in batches for t, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True))
+        yield pa.RecordBatch.from_pylist([{"model": pickle.dumps(fit(rows))}], schema=pa.schema([("model", pa.binary())]))
 
     made = picked.repartition(1).sortWithinPartitions(order, "text", "lang").mapInArrow(run, "model binary").first()
     return None if made is None else bytes(made.model)
