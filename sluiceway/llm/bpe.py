@@ -40,7 +40,7 @@ _PLAIN = [*range(33, 127), *range(161, 173), *range(174, 256)]
 _BYTES = {b: b for b in _PLAIN} | {b: 256 + k for k, b in enumerate(x for x in range(256) if x not in _PLAIN)}
 
 #: Encoded chunks that a worker keeps; once full, others are encoded again whenever they come up.
-CACHED = 1_000_000
+CACHED = 500_000
 
 
 class Encoder:
