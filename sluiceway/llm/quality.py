@@ -6,8 +6,10 @@ repeated windows fail at once. For the others the statistics are transformed (lo
 rates) and compared within their language and source: a minimum-covariance-determinant estimate (start from
 medians and median deviations, then concentration steps: mean and covariance of the SHARE of rows of least
 distance) gives robust distances, scaled so that their median is that of chi-squared, and rows beyond the
-limit are rejected. Groups under MIN_GROUP rows are pooled by language, then all together; a pool that is
-still smaller rejects nothing. Variances have a floor, so a statistic that hardly varies in a group does not
+limit are rejected. A group under MIN_GROUP rows (ten for each statistic) is compared with all rows
+of its language, large groups included, and where these are too few with all rows of the table, however few
+they are. Only rows without a language are not compared with those of languages: fewer than MIN_GROUP of them
+are kept, with a null distance. Variances have a floor, so a statistic that hardly varies in a group does not
 reject small deviations.
 
 Everything is column expressions and grouped aggregates: what a step shuffles is partial sums by group and a
@@ -26,7 +28,7 @@ from pyspark.sql import functions as F
 from .common import cut, table, words_of
 
 MIN_WORDS, MAX_REPEATED, WINDOW = 10, 0.2, 5
-MIN_GROUP, SHARE, STEPS = 200, 0.75, 3
+MIN_GROUP, SHARE, STEPS = 50, 0.75, 3
 
 #: Of chi-squared with five degrees of freedom: the median, and the 0.9999 quantile, the largest squared distance kept.
 MEDIAN, LIMIT = 4.3515, 25.7448
@@ -108,18 +110,23 @@ def outliers(stats: DataFrame, *, lang: str = "lang", source: str = "source", mi
     """The rows with distance (of rows that base_failed: null) and kept."""
     name = lambda c: F.coalesce(F.concat(F.lit("="), F.col(f"`{c}`").cast("string")), F.lit("~"))
     held = stats.withColumns({"g2": F.concat_ws("\u0000", name(lang), name(source)), "g1": name(lang)} | dict(zip(NAMES, _transformed(), strict=True)))
-    # Groups large enough stand alone; the rest is pooled.
+    # g names the population that a group is compared with, gs those that its rows are part of: a row counts in three at most.
     sizes = held.where("NOT base_failed").groupBy("g1", "g2").agg(F.count(F.lit(1)).alias("n"))
-    small = sizes.where(F.col("n") < min_group).groupBy("g1").agg(F.sum("n").alias("pool")).withColumnRenamed("g1", "p1")
-    names = sizes.join(small, F.col("g1") == F.col("p1"), "left").select(
-        F.col("g2").alias("k2"), F.when(F.col("n") >= min_group, F.concat(F.lit("2"), "g2")).when(F.col("pool") >= min_group, F.concat(F.lit("1"), "g1")).otherwise("0").alias("g")
-    )
+    totals = sizes.groupBy("g1").agg(F.sum("n").alias("pool"), F.min("n").alias("least")).withColumnRenamed("g1", "p1")
+    own, wide = F.concat(F.lit("2"), "g2"), F.concat(F.lit("1"), "g1")
+    names = sizes.join(totals, F.col("g1") == F.col("p1")).select(
+        F.col("g2").alias("k2"),
+        F.when(F.col("n") >= min_group, own).when(F.col("pool") >= min_group, wide).when(F.col("g1") != "~", "0").alias("g"),
+        F.when(F.col("n") >= min_group, own).alias("o"), F.when((F.col("least") < min_group) & (F.col("pool") >= min_group), wide).alias("w"),
+    )
     names = cut(names)
+    all_rows = F.lit("0" if names.where("g = '0'").limit(1).count() else None).cast("string")
+    names = names.select("k2", "g", F.array_compact(F.array("o", "w", all_rows)).alias("gs"))
     bounded = names.count() <= BROADCAST_GROUPS
     rows = held.join(F.broadcast(names) if bounded else names, F.col("g2") == F.col("k2"), "left").drop("g1", "g2", "k2")
     ok = F.col("base_failed") == F.lit(False)
     middle = lambda c: F.percentile_approx(c, 0.5, 1000)
-    good = rows.where(ok).select("g", *NAMES)
+    good = rows.where(ok).select(F.explode("gs").alias("g"), *NAMES)
     places = cut(good.groupBy("g").agg(*[middle(x).alias(f"m_{i}") for i, x in enumerate(NAMES)]))
     spread = _joined(good, places, bounded).groupBy("g").agg(*[middle(F.abs(F.col(x) - F.col(f"m_{i}"))).alias(f"s_{i}") for i, x in enumerate(NAMES)])
     p = len(NAMES)
@@ -129,13 +136,13 @@ def outliers(stats: DataFrame, *, lang: str = "lang", source: str = "source", mi
     )
     for _ in range(STEPS):
         near = _distance(good, estimate, bounded)
-        limits = cut(near.groupBy("g").agg(F.percentile_approx("d", SHARE, 1000).alias("limit"), F.count(F.lit(1)).alias("n")))
+        limits = cut(near.groupBy("g").agg(F.percentile_approx("d", SHARE, 1000).alias("limit")))
         estimate = cut(_estimate(_joined(near, limits, bounded).where("d <= limit")))
-    scale = cut(_distance(good, estimate, bounded).groupBy("g").agg(middle("d").alias("median"), F.count(F.lit(1)).alias("n")))
+    scale = cut(_distance(good, estimate, bounded).groupBy("g").agg(middle("d").alias("median")))
     out = _joined(_distance(rows, estimate, bounded), scale, bounded)
     scaled = F.col("d") * MEDIAN / F.greatest(F.col("median"), F.lit(MEDIAN))
     out = out.withColumn("distance", F.when(ok, scaled))
-    return out.select(*stats.columns, "distance", (ok & ((F.coalesce("n", F.lit(0)) < min_group) | (F.coalesce("distance", F.lit(0.0)) <= LIMIT))).alias("kept"))
+    return out.select(*stats.columns, "distance", (ok & (F.coalesce("distance", F.lit(0.0)) <= LIMIT)).alias("kept"))
 
 
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -139,6 +139,21 @@ def test_outliers_are_rejected_and_others_kept(spark):
     assert quality.outliers(quality.base_stats(empty, keep=["doc_id", "lang", "source"])).count() == 0
 
 
+def test_small_groups_are_compared_with_larger_populations(spark):
+    rnd = random.Random(8)
+    text = lambda n: " ".join("".join(rnd.choice("abcdefgh") for _ in range(rnd.randrange(2, 8))) for _ in range(n))
+    junk = lambda: " ".join(f"{rnd.randrange(10**6)}$$$###" for _ in range(100))
+    rows = [(i, text(rnd.randrange(60, 400)), "en", "large" if i < 90 else f"s{i}") for i in range(100)] + [(200 + i, text(rnd.randrange(60, 400)), f"l{i}", "s") for i in range(9)]
+    rows += [(1000, junk(), "en", "alone"), (1001, junk(), "rare", "s"), (1002, junk(), "rare", None), (1003, junk(), None, "s")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    judge = lambda df: {r.doc_id: r for r in quality.outliers(quality.base_stats(df, keep=["doc_id", "lang", "source"])).collect()}
+    got = judge(frame)
+    assert {i for i in got if not got[i].kept} == {1000, 1001, 1002} and len(got) == len(rows)
+    assert [i for i in got if got[i].distance is None] == [1003]  # too few rows without a language
+    few = judge(frame.where("doc_id >= 200 AND doc_id <> 1000 AND doc_id <> 1002"))  # under MIN_GROUP rows in all
+    assert {i for i in few if not few[i].kept} == {1001}
+
+
 def test_quality_runs_no_python(spark):
     df = spark.createDataFrame([(1, "a b", "en", "s")], "doc_id long, text string, lang string, source string").withColumn("doc_id", F.col("doc_id"))
     plan = quality.base_stats(df, keep=["doc_id", "lang", "source"])._jdf.queryExecution().executedPlan().toString()
