@@ -2,8 +2,10 @@
 
 Every word has a log-odds between toxic and clean texts. Its counts are smoothed with a Dirichlet prior that
 its prefixes supply, the longer over the shorter (the shortest over the whole vocabulary), so that unseen
-words of a known family score too; a word counts once in a text. Less a drift, common words score below zero; one scan in linear time
-(Ruzzo and Tompa) then finds all maximal segments of positive total. The greatest scores of clean texts
+words of a known family score too. Less a drift, common words score below zero; one scan in linear time
+(Ruzzo and Tompa) then finds all maximal segments of positive total. Repeats of a word within a segment are no
+further evidence: a segment counts for the greatest total of a stretch of it in which a word speaks once; what
+other segments hold does not matter. The greatest scores of clean texts
 follow an extreme-value law whose location grows with the logarithm of a text's length; it is fitted on clean
 texts that the log-odds did not see. Segments rarer than SIGNIFICANT under it are the toxic passages, and a
 text's surprise (the sum over its segments of -log of their chances) becomes a probability by logistic
@@ -68,6 +70,38 @@ def segments(scores: np.ndarray) -> list[tuple[int, int, float]]:
     return [(a, b, y - x) for a, b, x, y in held]
 
 
+def evidence(scores: np.ndarray, found: list[str]) -> float:
+    """The greatest total of a stretch in which each word's positive score counts once; n log n steps."""
+    at = np.flatnonzero(scores > 0).tolist()
+    if len({found[k] for k in at}) == len(at):
+        return max((total for *_, total in segments(scores)), default=0.0)
+    below = np.cumsum(np.minimum(scores, 0.0)).tolist()
+    # A tree of maxima over the starts of stretches that end at the word in turn, less what is below zero before them.
+    size = 1 << (len(at) - 1).bit_length()
+    top, added, last, best = [-math.inf] * (2 * size), [0.0] * (2 * size), {}, 0.0
+    for k, i in enumerate(at):
+        top[size + k] = -below[i]
+        s, lo, hi = float(scores[i]), size + last.get(found[i], -1) + 1, size + k + 1
+        last[found[i]] = k
+        ends = (lo, hi - 1)
+        while lo < hi:
+            if lo & 1:
+                top[lo] += s
+                added[lo] += s
+                lo += 1
+            if hi & 1:
+                hi -= 1
+                top[hi] += s
+                added[hi] += s
+            lo, hi = lo >> 1, hi >> 1
+        for p in ends:
+            while p > 1:
+                p >>= 1
+                top[p] = max(top[2 * p], top[2 * p + 1]) + added[p]
+        best = max(best, top[1] + below[i])
+    return best
+
+
 class Odds:
     """Log-odds of words, from document counts in toxic and clean texts."""
 
@@ -112,13 +146,7 @@ class Model:
             if len(self.known) < KEPT:
                 self.known.update(new)
             got = [new[w] if s is None else s for w, s in zip(found, got, strict=True)]
-        out = np.array(got, np.float64)
-        seen = set()
-        for k in np.flatnonzero(out > 0).tolist():  # a word speaks once: repeats of it are no further evidence
-            if found[k] in seen:
-                out[k] = 0.0
-            seen.add(found[k])
-        return out
+        return np.array(got, np.float64)
 
     def chance(self, total: float, length: int) -> float:
         """Chance that a clean text of so many words has a segment of this total."""
@@ -129,7 +157,11 @@ class Model:
         """Significant segments (first word, end, total, chance), and the surprise."""
         found = words(text)
         out, surprise = [], 0.0
-        for lo, hi, total in segments(self.scores(found)):
+        scores = self.scores(found)
+        for lo, hi, total in segments(scores):
+            if self.chance(total, len(found)) >= SIGNIFICANT:
+                continue  # its evidence is no greater
+            total = evidence(scores[lo:hi], found[lo:hi])
             p = max(self.chance(total, len(found)), 1e-300)
             if p < SIGNIFICANT:
                 out.append((lo, hi, total, p))
@@ -151,7 +183,8 @@ def fit(rows: list[tuple[str, int]], share: float) -> Model | None:
     tops, sizes = [], []
     for text in back[0]:
         found = words(text)
-        tops.append(max((s for *_, s in segments(model.scores(found))), default=0.0))
+        scores = model.scores(found)
+        tops.append(max((evidence(scores[lo:hi], found[lo:hi]) for lo, hi, _ in segments(scores)), default=0.0))
         sizes.append(math.log(max(1, len(found))))
     tops_, sizes_ = np.array(tops), np.array(sizes)
     model.scale = 1.0

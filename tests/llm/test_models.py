@@ -57,6 +57,29 @@ def test_toxicity_on_held_out_texts():
     assert found and found[0][0] <= 2 and found[0][1] >= 4
 
 
+@pytest.mark.parametrize("seed", range(100))
+def test_evidence_counts_a_word_once(seed):
+    rnd = random.Random(seed)
+    value = {w: float(rnd.choice([-3, -1, 1, 2, 4])) for w in "abcdef"}
+    found = rnd.choices("abcdef", k=rnd.randrange(1, 14))
+    spans = [found[i:j] for i in range(len(found)) for j in range(i + 1, len(found) + 1)]
+    want = max(0.0, *(sum(value[w] for w in set(x) if value[w] > 0) + sum(value[w] for w in x if value[w] < 0) for x in spans), 0.0)
+    assert toxicity.evidence(np.array([value[w] for w in found]), found) == pytest.approx(want)
+
+
+def test_later_passages_with_the_same_words_are_found():
+    bad, plain = ["scumbag", "filthy", "vermin", "lowlife"], ["tana", "risto", "mover", "lequi"] * 25
+    model = toxicity.Model(lambda w: 4.0 if w in bad else -1.0, 1.0, 0.0, -2.0, 2.0)
+    scattered = [w for b in bad for w in (b, *plain)]  # one at a time they are not significant
+    assert model.passages(" ".join(scattered))[0] == []
+    found, surprise = model.passages(" ".join([*scattered, *bad]))
+    assert [x[:2] for x in found] == [(len(scattered), len(scattered) + 4)] and model.probability(surprise) >= 0.7
+    repeated, _ = model.passages(" ".join([*bad, *plain] * 5))
+    assert [x[:2] for x in repeated] == [(104 * k, 104 * k + 4) for k in range(5)] and len({x[2] for x in repeated}) == 1
+    once, _ = model.passages(" ".join([*plain, *["filthy"] * 50]))
+    assert once == []  # one word over and over is one word's evidence
+
+
 def test_toxicity_edge_cases(spark):
     docs = spark.createDataFrame([(1, None), (None, ""), (2, "word " * 50_000), (2, "word")], "doc_id long, text string")
     assert toxicity.train(spark.createDataFrame([("a", 1), (None, 0)], "text string, label int")) is None
