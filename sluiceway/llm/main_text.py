@@ -8,6 +8,7 @@ the share of its characters that are link text. The best container is kept (with
 it, if there is one), and those of its siblings that score well or read like its text. Within what is kept,
 lists and boxes that are mostly links go.
 
+What stands outside of any body counts as in an implied one (the root), and content ends a head left open.
 Null, empty and unreadable pages give an empty text; repeated rows give equal results; ties go to the
 container that opens first; only the named columns are read.
 """
@@ -106,6 +107,8 @@ def extract(html: str | None) -> str:
             if tag in ("br", "hr"):
                 broken = True
             continue
+        if tags[stack[-1]] == "head":
+            stack.pop()  # what belongs there is void or was skipped as a whole
         inline = tag in INLINE
         if inline and tag != "a" and not raw:
             continue  # plain formatting does not shape the tree
@@ -164,12 +167,14 @@ def extract(html: str | None) -> str:
         if link[node]:
             linked[b] += n
     points = [0.0] * len(tags)
-    for b in range(1, len(tags)):
+    for b in range(len(tags)):
         if chars[b] and not gone[b]:
             earned = (1 + commas[b] + chars[b] / 100) * (1 - linked[b] / chars[b])
             node, level = b if tags[b] not in ("p", "h1", "h2", "h3", "h4", "h5", "h6", "li", "pre", "blockquote") else parents[b], 0
-            while node:
+            while True:
                 points[node] += earned / (1, 2)[level] if level < 2 else earned / (3 * level)
+                if not node:
+                    break
                 node, level = parents[node], level + 1
     total, total_linked = chars[:], linked[:]
     for k in range(len(tags) - 1, 0, -1):
@@ -179,7 +184,7 @@ def extract(html: str | None) -> str:
     score = [(p + b) * (1 - d) if p > 0 else 0.0 for p, b, d in zip(points, bonus, density, strict=True)]
     best = max(range(len(tags)), key=lambda k: (score[k], -k))
     if not score[best]:
-        return " ".join(" ".join(t for n, t, _ in clean if not gone[n]).split()) if len(tags) == 1 else ""
+        return ""
     node = best
     while node:
         if tags[node] == "article" and density[node] < 0.5:
@@ -188,7 +193,7 @@ def extract(html: str | None) -> str:
 
     keep = [False] * len(tags)
     keep[best] = True
-    if tags[best] not in SEALED - {"article"}:
+    if best and tags[best] not in SEALED - {"article"}:
         for k in range(1, len(tags)):
             if parents[k] == parents[best] and k != best and not gone[k] and total[k]:
                 good = score[k] >= max(10.0, 0.2 * score[best])

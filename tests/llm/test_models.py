@@ -179,6 +179,17 @@ def test_main_text():
     assert main_text.extract("<p" + " a" * 9 + "<<<&amp;>text") is not None
 
 
+def test_main_text_without_html_and_body_tags():
+    e = main_text.extract
+    assert e("<h1>T</h1><p>Long text, with commas, here.</p><p>More of it.</p>") == "T Long text, with commas, here. More of it."
+    assert e("<!DOCTYPE html><title>No</title><h2>A</h2><ul><li>one<li>two</ul><pre>code, here</pre><blockquote>said</blockquote>") == "A one two code, here said"
+    assert e("<p>only one paragraph") == "only one paragraph" and e("loose text<p>and a block") == "loose text and a block" and e("no tag, at all") == "no tag, at all"
+    assert e("<nav><a href=1>Home</a></nav><p>Text, of the page.</p><ul><li><a href=2>Some other page</a></ul><footer>(c)</footer>") == "Text, of the page."
+    assert e("<head><meta charset=utf-8><title>No</title><p>Text, of the page.") == e("<html><head><title>No</title><body><p>Text, of the page.") == "Text, of the page."
+    whole = "<h1>T</h1><p>Long text, with commas.</p><div class=sidebar><p>Other, things, here</p></div>"
+    assert e(whole) == e(f"<html><body>{whole}</body></html>") == "T Long text, with commas."
+
+
 def test_main_text_of_the_test_pages(spark):
     docs = {r.doc_id: r.text for r in spark.read.parquet(f"{SMALL}/documents.parquet").collect()}
     got = QUERIES["op8_main_text"](spark, SMALL).collect()
