@@ -2,14 +2,17 @@
 
 import random
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from sluiceway.llm import QUERIES, chat, decontaminate, language, main_text, toxicity
+from sluiceway.llm import QUERIES, chat, decontaminate, language, main_text, near_dup, toxicity
 
 from ..conftest import SMALL
+from .test_lines_and_groups import brute_components
+from .test_tokens import check_packing, exact
 
 
 def brute_segments(s):
@@ -229,3 +232,56 @@ def test_pipeline_stage_by_stage(spark):
     packed = C.STAGES[-1][1](spark, seen, SMALL)
     assert sorted({r.doc_id for r in packed.select("doc_id").collect()}) == sorted(ids)
     assert [n for n, _ in C.STAGES] == ["language", "line_dedup", "near_dup", "decontaminate", "packing"]
+
+
+def brute_language(rows):
+    import xxhash
+
+    signed = lambda h: h - (1 << 64) if h >> 63 else h
+    known = [(signed(xxhash.xxh64_intdigest(t, 42)), t, y) for i, t, y in rows if zlib.crc32(str(i).encode()) % 5 and t is not None and y is not None]
+    model = language.fit((t, y) for _, t, y in sorted(known))
+    found = {i: model.predict(t) for i, t, _ in rows}
+    return {i for i, (name, p) in found.items() if name != "und" and p >= 0.5}
+
+
+def brute_lines(rows):
+    bare = lambda x: x.strip(" \t\r")
+    pages, on = Counter(s for _, s, _ in rows), Counter((s, x) for _, s, t in rows for x in {bare(x) for x in (t or "").split("\n")})
+    out = {}
+    for i, s, t in rows:
+        over = lambda x, s=s: x != "" and on[s, x] >= 5 and on[s, x] > 0.02 * pages[s]
+        rest = [x for x in (t or "").split("\n") if not over(bare(x))]
+        out[i] = t if t is None or not any(map(bare, rest)) else "\n".join(rest)
+    return out
+
+
+def test_pipeline_equals_plain_python_stage_by_stage(spark, monkeypatch):
+    import corpus_pipeline as C
+    import public_tokenizers
+
+    tables, held = "/root/testdata/sf0.01", {}  # sf0.001 has no line that goes
+    monkeypatch.setattr(C, "written", lambda df, name, f=C.written: held.setdefault(name, f(df, name)))
+    pieces = [r.asDict() for r in C.run(spark, tables).collect()]
+    docs = spark.read.parquet(f"{tables}/documents.parquet").collect()
+    stages = {name: df.collect() for name, df in held.items()}
+    assert list(stages) == ["language", "line_dedup", "near_dup", "decontaminate"]
+    ids = {name: [r.doc_id for r in rows] for name, rows in stages.items()}
+    assert len({r.doc_id for r in docs}) == len(docs) and all(len(set(x)) == len(x) for x in ids.values())
+    whole = {r.doc_id: r for r in docs}
+    assert set(ids["language"]) == brute_language([(r.doc_id, r.text, r.lang) for r in docs])
+    assert all(r == whole[r.doc_id] for r in stages["language"])
+    want = brute_lines([(r.doc_id, r.source, r.text) for r in stages["language"]])
+    assert {r.doc_id: r.text for r in stages["line_dedup"]} == want and any(want[i] != whole[i].text for i in want)
+    assert all((r.lang, r.source, r.n_chars) == (whole[r.doc_id].lang, whole[r.doc_id].source, len(r.text)) for r in stages["line_dedup"])
+    prints = {r.doc_id: near_dup.fingerprint_of(r.text) for r in stages["line_dedup"]}
+    roots, first = brute_components(set(prints.values())), {}
+    for i in sorted(prints):
+        first.setdefault(roots[prints[i]], i)
+    assert set(ids["near_dup"]) == set(first.values()) and len(first) < len(prints)
+    items = [(r.item_id, r.text) for r in spark.read.parquet(f"{tables}/benchmark.parquet").collect()]
+    leaked = {d for d, _ in brute_leaks([(r.doc_id, r.text) for r in stages["near_dup"]], items)}
+    assert set(ids["decontaminate"]) == set(ids["near_dup"]) - leaked and leaked
+    for name in ("near_dup", "decontaminate"):
+        assert all(r.text == want[r.doc_id] for r in stages[name])
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    check_packing(pieces, {r.doc_id: [*exact(path, r.text), 1] for r in stages["decontaminate"]}, 2048)
