@@ -360,6 +360,8 @@ class Program:
                 return self._trend(s, st, ops)
             if any(o.kind == "forecast" for o in ops):
                 items = next(o for o in ops if o.kind == "forecast").items
+                if unknown := sorted(set(items) - {"confidence", "max_depth"}):
+                    raise ProgramError(f".forecast({', '.join(unknown)}) is not supported in stream {s.name}")
                 st.df = forecast.forecast(self._united([x.type for x in st.steps]), [x.type for x in st.steps], key=self._key(st), confidence=items["confidence"].value if "confidence" in items else 0.5, depth=items["max_depth"].value if "max_depth" in items else forecast.DEPTH)
                 ops = [o for o in ops if o.kind != "forecast"]
             else:

@@ -44,6 +44,16 @@ def test_bad_programs(spark, row, text, what):
         Program(text, spark, tables={"A": row.withColumn("x", F.lit(1))}).stream("S")
 
 
+@pytest.mark.parametrize("setting", ["horizon: 5m", "warmup: 100", "hawkes: true", "conformal: true", 'mode: "accurate"'])
+def test_forecast_settings_that_are_not_provided_are_rejected(spark, setting):
+    events = spark.createDataFrame([("e1", "u", "a"), ("e2", "u", "b")], "event_id string, user_id string, event_type string").withColumn("ts", F.current_timestamp())
+    text = "stream S = a as x -> b where user_id == x.user_id as y .forecast(confidence: 0.3{})"
+    with pytest.raises(ProgramError, match=rf"forecast\({setting.split(':')[0]}\) is not supported"):
+        Program(text.format(f", {setting}"), spark, events=events).stream("S")
+    assert "forecast_probability" in Program(text.format(", max_depth: 2"), spark, events=events).stream("S").columns
+
+
+
 def test_declarations(spark, row):
     p = Program('event Base:\n    ts: timestamp\nevent Tick extends Base:\n    price: float\n    tags: [str]\ntype Price = float\nconnector Out = file(path: "/tmp/x")\nstream S = A.to(Out)\n', spark, tables={"A": row})
     p.stream("S")
