@@ -3,8 +3,8 @@
 A document's ids are cut into pieces of a full sequence and one remainder. Full pieces are sequences by
 themselves. Remainders are packed in groups: a group opens as many sequences as its tokens fill, and its
 pieces, longest first, go to the sequence of the lowest estimated cost (linear in tokens plus quadratic in
-the length of each piece, as attention is) that still has room. Where none of the lowest has room for the
-whole piece, the piece is cut at the lowest one's end. What is left over at the end of a partition fills
+the length of each piece, as attention is) that still has room. Where no open sequence has room for the
+whole piece, the piece is cut at the lowest one's end, and the rest takes its turn by its length. What is left over at the end of a partition fills
 sequences whose lengths are powers of two, so nothing is padded.
 
 Packing needs no shuffle: each partition packs its own documents and numbers its sequences within a range
@@ -14,6 +14,7 @@ null; repeated rows are documents of their own; an empty table gives no rows; ot
 
 from __future__ import annotations
 
+import bisect
 import heapq
 from collections.abc import Iterator
 
@@ -29,8 +30,8 @@ LENGTH, END = 2048, 1
 #: Cost of a sequence: LINEAR * tokens + QUADRATIC * sum of squared piece lengths.
 LINEAR, QUADRATIC = 1.0, 1.0 / 4096
 
-#: Sequences that a group opens, and how many of the lowest-cost ones are tried before a piece is cut.
-GROUP, TRIED = 512, 16
+#: Sequences that a group opens.
+GROUP = 512
 
 #: Sequence ids of a partition start at partition << SHIFT.
 SHIFT = 40
@@ -55,21 +56,25 @@ def balance(pieces: list[Piece], rooms: list[int], *, linear: float = LINEAR, qu
     """Deals pieces to sequences of the given rooms: what each got, and the pieces left when all are full."""
     got: list[list[Piece]] = [[] for _ in rooms]
     room = list(rooms)
-    heap = [(0.0, k) for k in range(len(rooms))]
-    todo = sorted(pieces, key=lambda p: (-len(p), -1 if p.doc_id is None else p.doc_id, p.start))[::-1]
-    while todo and heap:
+    order = lambda p: (len(p), 1 if p.doc_id is None else -p.doc_id, -p.start)
+    todo = sorted(pieces, key=order)
+    # Pieces only get shorter, so a sequence without room for one is parked by its room until they fit again.
+    heap, parked = [(0.0, k) for k in range(len(rooms))], []
+    while todo and (heap or parked):
         piece = todo.pop()
-        aside = []
-        while heap and len(aside) < TRIED and room[heap[0][1]] < len(piece):
-            aside.append(heapq.heappop(heap))
-        if heap and room[heap[0][1]] >= len(piece):
+        while parked and -parked[0][0] >= len(piece):
+            heapq.heappush(heap, heapq.heappop(parked)[1:])
+        while heap and room[heap[0][1]] < len(piece):
+            cost, k = heapq.heappop(heap)
+            heapq.heappush(parked, (-room[k], cost, k))
+        if heap:
             cost, k = heapq.heappop(heap)
         else:
-            cost, k = aside.pop(0)
+            _, cost, k = one = min(parked, key=lambda x: x[1:])
+            parked.remove(one)
+            heapq.heapify(parked)
             piece, rest = piece.split(room[k])
-            todo.append(rest)
-        for x in aside:
-            heapq.heappush(heap, x)
+            bisect.insort(todo, rest, key=order)
         got[k].append(piece)
         room[k] -= len(piece)
         if room[k]:

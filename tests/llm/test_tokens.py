@@ -92,6 +92,30 @@ def test_packing(spark):
     assert packing.pack(spark.createDataFrame([], "doc_id long, text string"), tokenizer=BYTE).count() == 0
 
 
+def test_a_piece_is_cut_only_where_no_sequence_has_room():
+    piece = lambda i, n: packing.Piece(i, 0, n, memoryview(bytes(4 * n)))
+    # Twenty short sequences of the lowest cost, and one with room.
+    got, left = packing.balance([piece(0, 100), piece(1, 50)], [10] * 20 + [200])
+    assert [len(p) for p in got[20]] == [100, 50] and not left and not any(got[:20])
+    for seed in range(200):
+        rnd = random.Random(seed)
+        pieces, rooms = [piece(i, rnd.randrange(1, 60)) for i in range(rnd.randrange(60))], [rnd.choice([16, 64, 64]) for _ in range(rnd.randrange(1, 40))]
+        todo, room, cost, want = sorted(pieces, key=lambda p: (-len(p), p.doc_id, p.start)), rooms[:], [0.0] * len(rooms), [[] for _ in rooms]
+        while todo and any(room):
+            p = todo.pop(0)
+            fits = [k for k in range(len(room)) if room[k] >= len(p)]
+            k = min(fits or [k for k in range(len(room)) if room[k]], key=lambda k: (cost[k], k))
+            if not fits:
+                p, rest = p.split(room[k])
+                todo = sorted([*todo, rest], key=lambda p: (-len(p), p.doc_id, p.start))
+            want[k].append(p)
+            room[k] -= len(p)
+            cost[k] += packing.LINEAR * len(p) + packing.QUADRATIC * len(p) ** 2
+        got, left = packing.balance(pieces, rooms)
+        place = lambda x: [(p.doc_id, p.start, len(p)) for p in x]
+        assert list(map(place, got)) == list(map(place, want)) and sorted(place(left)) == sorted(place(todo))
+
+
 def test_costs_are_balanced():
     rnd = random.Random(4)
     pieces = [packing.Piece(i, 0, n, memoryview(bytes(4 * n))) for i, n in enumerate(rnd.randrange(20, 1500) for _ in range(400))]
