@@ -1,13 +1,17 @@
 """Exact token ids of whole texts through a cache of encoded chunks.
 
-A byte-pair tokenizer cuts a text into pretokens before it merges, and no pretoken of the two supported
-vocabularies spans the chunk borders used here. A chunk is therefore encoded once per worker by the
-tokenizers library and its ids are reused; the ids of a text are those of its chunks in order.
+A byte-pair tokenizer cuts a text into pretokens before it merges, and no pretoken of the two kinds of
+vocabulary known here spans the chunk borders used. A chunk is therefore encoded once by the tokenizers library
+and its ids are reused; the ids of a text are those of its chunks in order. Other vocabularies are recognised by
+their settings and encode every text as a whole. Control strings of a vocabulary that occur in a text are
+ordinary text, as the vocabularies' own description encodes them (`encode_special_tokens`).
 """
 
 from __future__ import annotations
 
 import functools
+import itertools
+import json
 import re
 import unicodedata
 from array import array
@@ -39,44 +43,77 @@ _KEEPS = re.compile(rf" ?[{_L}]+|{_ENDINGS}| ?[{_N}]+| ?[^{SPACE}{_L}{_N}]+|[{SP
 _PLAIN = [*range(33, 127), *range(161, 173), *range(174, 256)]
 _BYTES = {b: b for b in _PLAIN} | {b: 256 + k for k, b in enumerate(x for x in range(256) if x not in _PLAIN)}
 
-#: Encoded chunks that a worker keeps; once full, others are encoded again whenever they come up.
-CACHED = 500_000
+#: Bytes of encoded chunks that a worker keeps, and what an entry takes beside its own; once full, the older half goes.
+CACHED, ENTRY = 160 << 20, 200
+
+#: What decides on pretokens, of the two kinds known here.
+_DROPPING = ({"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]}, r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
+_KEEPING = {"type": "ByteLevel", "add_prefix_space": False, "use_regex": True}
+
+
+def kind_of(path: str) -> str | None:
+    """Whether a vocabulary "drops" white space before merging or "keeps" it; None for any other kind."""
+    with open(path, encoding="utf-8") as f:
+        made = json.load(f)
+    normal, before, model = made.get("normalizer"), made.get("pre_tokenizer") or {}, made.get("model", {})
+    if made.get("truncation") or made.get("padding") or model.get("type") != "BPE" or model.get("dropout") or any(t["normalized"] or not t["special"] for t in made.get("added_tokens", [])):
+        return None
+    if normal is None and _KEEPING.items() <= before.items():
+        return "keeps"
+    first, *rest = before.get("pretokenizers") or [{}]
+    cuts = first.get("type") == "Split" and first.get("behavior") == "Removed" and first.get("invert") is True and first.get("pattern") == {"Regex": _DROPPING[1]}
+    last = len(rest) == 1 and rest[0].get("type") == "ByteLevel" and not rest[0].get("use_regex", True) and not rest[0].get("add_prefix_space", True)
+    return "drops" if normal == _DROPPING[0] and cuts and last else None
 
 
 class Encoder:
     """Ids of texts as little-endian unsigned 32-bit integers."""
 
-    def __init__(self, path: str, drops_space: bool):
+    def __init__(self, path: str):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.known: dict[str, bytes] = {}
-        self.tokenizer, self.drops = Tokenizer.from_file(path), drops_space
-        self.tokenizer.encode_special_tokens = True  # control strings in a text are ordinary text
-
-    def _fresh(self, new: list[str], whole: bool) -> dict[str, bytes]:
+        self.held = 0
+        self.tokenizer, self.kind = Tokenizer.from_file(path), kind_of(path)
+        self.tokenizer.encode_special_tokens = True
+
+    def _whole(self, texts: list[str]) -> list[bytes]:
+        return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _keep(self, found: dict[str, bytes]) -> None:
+        size = lambda xs: sum(ENTRY + len(c) + len(ids) for c, ids in xs.items())
+        self.known.update(found)
+        self.held += size(found)
+        if self.held > CACHED:  # by count, then by size where single entries are huge
+            self.known = dict(itertools.islice(self.known.items(), len(self.known) // 2, None))
+            self.held = size(self.known)
+            if self.held > CACHED:
+                self.known, self.held = {}, 0
+
+    def _fresh(self, todo: list[str], whole: bool) -> dict[str, bytes]:
         out = {}
         if whole:  # pretokens: only merging is left to do
             merge = self.tokenizer.model.tokenize
-            for word in new:
+            for word in todo:
                 out[word] = array("I", [t.id for t in merge(word.encode().decode("latin-1").translate(_BYTES))]).tobytes()
-        for k in range(0, 0 if whole else len(new), 8192):
-            part = new[k : k + 8192]
-            for chunk, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                out[chunk] = array("I", e.ids).tobytes()
-        if len(self.known) < CACHED:
-            self.known.update(out)
+        for k in range(0, 0 if whole else len(todo), 8192):
+            part = todo[k : k + 8192]
+            out.update(zip(part, self._whole(part), strict=True))
+        self._keep(out)
         return out
 
     def encode_many(self, texts: list[str], end: int) -> list[bytes]:
         """The ids of each text and the end id. Unknown chunks of all texts are encoded together."""
         tail, out = int(end).to_bytes(4, "little"), [b""] * len(texts)
+        if self.kind is None:
+            return [ids + tail for ids in self._whole(texts)]
         hard = [_HARD.search(t) is not None for t in texts]
         for whole in (False, True):
             at = [k for k, h in enumerate(hard) if h != whole]
-            if self.drops:
+            if self.kind == "drops":
                 found = [(_DROPS.findall(texts[k].lower()) if whole else DROPS_SPACE.findall(texts[k])) for k in at]
             else:
                 found = [(_KEEPS if whole else KEEPS_SPACE).findall(texts[k]) for k in at]
@@ -91,6 +128,6 @@ class Encoder:
 
 
 @functools.cache
-def encoder(path: str, drops_space: bool) -> Encoder:
-    """One encoder for each vocabulary in a worker process; drops_space tells its kind."""
-    return Encoder(path, drops_space)
+def encoder(path: str) -> Encoder:
+    """One encoder for each vocabulary in a worker process."""
+    return Encoder(path)

@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import tempfile
 import uuid
-import zipfile
 from collections.abc import Callable, Iterator
-from pathlib import Path
 
 import pyarrow as pa
+from py4j.protocol import Py4JError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..shipping import ship
+
 #: Rows and bytes of one Arrow batch handed to Python, so that a batch of long texts stays small.
 BATCH_ROWS, BATCH_BYTES = 512, 16 << 20
 
@@ -23,21 +26,44 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _qualified(spark: SparkSession, path: str) -> str:
+    """The path with the scheme and authority that Spark would resolve it to, so that Python workers write to the same place."""
+    made = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return made.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(made).toString().rstrip("/")
+
+
 def work_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or one of our own where that is unset (tests)."""
+    """The folder all executors share: spark.checkpoint.dir; where that is unset one of our own, in local mode only."""
+    sc = spark.sparkContext
     found = spark.conf.get("spark.checkpoint.dir", None)
-    if found:
-        if spark.sparkContext.getCheckpointDir() is None:
-            spark.sparkContext.setCheckpointDir(found)
-        return found.rstrip("/")
-    if (held := spark.sparkContext.getCheckpointDir()) is None:
-        spark.sparkContext.setCheckpointDir(f"file://{tempfile.mkdtemp(prefix='sluiceway-')}")
-        held = spark.sparkContext.getCheckpointDir()
-    return held.rstrip("/")
+    if not found and (held := sc.getCheckpointDir()):
+        return held.rstrip("/")
+    if not found and not sc.master.startswith("local"):
+        raise ValueError("on a cluster, spark.checkpoint.dir must name a folder that all executors share")
+    if sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(found or f"file://{tempfile.mkdtemp(prefix='sluiceway-')}")
+    return _qualified(spark, found or sc.getCheckpointDir())
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    return f"{work_dir(spark)}/sluiceway/{name}-{uuid.uuid4().hex}"
+    """A folder for one table or set of files, removed when the driver ends."""
+    path = f"{work_dir(spark)}/sluiceway/{name}-{uuid.uuid4().hex}"
+    if not _scratch:
+        atexit.register(clear)
+    _scratch.append((spark._jvm, spark._jsc.hadoopConfiguration(), path))
+    return path
+
+
+_scratch: list[tuple] = []
+
+
+def clear() -> None:
+    """Removes the scratch folders of this driver; what was read from them must have been used."""
+    while _scratch:
+        jvm, conf, path = _scratch.pop()
+        with contextlib.suppress(Py4JError, OSError):  # the JVM may be gone already
+            made = jvm.org.apache.hadoop.fs.Path(path)
+            made.getFileSystem(conf).delete(made, True)
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -53,19 +79,6 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def ship(spark: SparkSession) -> None:
-    """Sends this package to the executors once, so that their Python workers can import it."""
-    sc = spark.sparkContext
-    if not getattr(sc, "_sluiceway_sent", False):
-        top = Path(__file__).resolve().parents[1]
-        target = Path(tempfile.mkdtemp(prefix="sluiceway-")) / "sluiceway_package.zip"
-        with zipfile.ZipFile(target, "w") as z:
-            for p in sorted(top.rglob("*.py")):
-                z.write(p, p.relative_to(top.parent))
-        sc.addPyFile(str(target))
-        sc._sluiceway_sent = True
-
-
 def small_batches(spark: SparkSession) -> None:
     """Arrow batches of bounded rows and bytes for the Python operators of this session."""
     ship(spark)

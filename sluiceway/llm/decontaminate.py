@@ -1,26 +1,35 @@
 """Benchmark decontamination: a BM25 inverted index of test items, searched with block-max WAND.
 
-Items are cut into sections of at most SECTION words and indexed: for each term its postings, with the term's
-BM25 impact on a section divided by the section's greatest possible score. A score is then the weighted share
-of a section that a passage holds, and one threshold serves all. Sections are laid out in blocks; the index
-keeps each term's greatest impact in each block. Every passage of every document (a window of two spans of
-SECTION words, moving by one span, so that any section lies within a window) is a query. A window's upper
-bound in a block is the sum of its terms' block maxima; blocks below the threshold are skipped, as WAND skips
-them, and the sections of the others are scored exactly from the postings. All (window, section) pairs at the
-threshold are retrieved. A document and item are reported if, around the windows found, the item's question
-and its answer both overlap: the share of each part's word n-grams that occur there.
+Items are cut into sections of at most SECTION words and indexed: for each term its postings (cursors run over
+them in the order of sections), with the term's BM25 impact on a section divided by the section's greatest
+possible score. A score is then the weighted share of a section that a passage holds, and one threshold serves
+all. Sections are laid out in blocks; the index keeps each term's greatest impact in the whole and in each block.
+Every passage of every document (a window of two spans of SECTION words, moving by one span, so that any section
+lies within a window) is a query. Bounds over ranges of blocks, added up for all windows of a text at once, leave
+out the windows that can reach the threshold nowhere. The others are searched by WAND: the cursors stand sorted by
+section, the pivot is the first section whose cursors' greatest impacts reach the threshold together; where the
+block's maxima do not reach it, the cursors before jump past the block (or to the next cursor), else they jump
+to the pivot, which is scored exactly once all stand there. What is jumped over is never read. All (window,
+section) pairs at the threshold are retrieved. A document and item are reported if, around the windows found, the
+item's question and its answer both overlap: the share of each part's word n-grams that occur there.
 
 The question is the item's text up to its last "?", else the first half of its words; the answer is the rest.
-Items go through in index shards of at most SHARD sections, each broadcast to the executors, with one pass
-over the documents for each shard: what is broadcast has a bound, and no item is left out.
+An item of fewer than SHORTEST words cannot be told from ordinary prose by its words: it is not searched for
+(`too_short` lists such items, for an exact rule of one's own).
 
-Null and blank texts hold no passage and null or blank items match nothing; items with equal texts are all
-reported; rows with equal doc_id are searched as rows of their own; empty tables give no rows; other columns
-are not read.
+Items go in index shards of at most SHARD sections (or one item, if that is longer). The documents are read once:
+every batch is searched in one shard after the other, and a worker holds the last HELD shards it used. The driver
+reads the items one at a time and holds one shard and the items' vocabulary.
+
+Null and blank texts hold no passage and null or blank items match nothing; very long texts are searched whole,
+window by window; items with equal texts are all reported, and ties need no order; rows with equal doc_id are
+searched as rows of their own, null ids stay null; empty tables give no rows; other columns are not read by
+`leaks` and pass through `clean` under their names.
 """
 
 from __future__ import annotations
 
+import bisect
 import math
 import re
 from collections import Counter, defaultdict
@@ -33,13 +42,19 @@ from pyspark.sql import functions as F
 
 from .common import small_batches, table
 
-#: Blocks of an index, and blocks to a coarse one; the coarse maxima skip most windows, the others go by the fine ones.
-SECTION, BLOCKS, COARSE, SHARD = 64, 256, 8, 2_048
+#: Blocks of an index, ranges of blocks whose maxima leave out windows, sections of a shard, shards a worker holds.
+SECTION, BLOCKS, RANGES, SHARD, HELD = 64, 256, 32, 2_048, 4
 K1, B = 1.2, 0.75
 
 #: Least share of a section's score that a window must reach, and least overlap of question and answer.
 THRESHOLD, OVERLAP, NGRAM = 0.5, 0.5, 5
 
+#: Words of the shortest item that is searched for.
+SHORTEST = 8
+
+#: Bounds are compared with this much to spare, as their sums are rounded.
+SPARE = 1e-4
+
 _TERM = re.compile(r"\w+")
 
 FOUND = "item_id long, score double, question_overlap double, answer_overlap double, first_word long, windows long"
@@ -72,17 +87,18 @@ def overlap(part: list[str], around: list[str], n: int = NGRAM) -> float:
 
 
 class Index:
-    """Inverted index of the sections of some items, with block maxima."""
+    """Inverted index of the sections of some items, with block maxima. `read` counts the postings that searches read, `passed` those they jumped over."""
 
     def __init__(self, items: list[tuple[int | None, str]], *, stats: tuple[int, float, dict[str, int]], threshold: float = THRESHOLD):
         n, mean, df = stats
-        self.items, self.threshold = items, threshold
+        self.items, self.threshold, self.read, self.passed = items, threshold, 0, 0
         self.parts = [parts_of(t) for _, t in items]
         sections = [(k, terms[at : at + SECTION]) for k, (_, text) in enumerate(items) for terms in [terms_of(text)] for at in range(0, len(terms), SECTION)]
         self.owner = [k for k, _ in sections]
         self.size = max(1, -(-len(sections) // BLOCKS))
         self.ids: dict[str, int] = {}
-        postings: dict[int, list[tuple[int, float]]] = defaultdict(list)
+        self.sections: list[list[int]] = []  # of each term, ascending
+        self.gains: list[list[float]] = []
         for s, (_, terms) in enumerate(sections):
             gains = {}
             for t, tf in Counter(terms).items():
@@ -90,13 +106,62 @@ class Index:
                 gains[t] = idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * len(terms) / mean))
             total = sum(gains.values())
             for t, g in gains.items():
-                postings[self.ids.setdefault(t, len(self.ids))].append((s, g / total))
-        self.postings = dict(postings)
-        self.best = np.zeros((len(self.ids), BLOCKS), np.float32)
-        for t, found in postings.items():
-            for s, g in found:
-                self.best[t, s // self.size] = max(self.best[t, s // self.size], g)
-        self.coarse = self.best.reshape(-1, BLOCKS // COARSE, COARSE).max(2)
+                k = self.ids.setdefault(t, len(self.ids))
+                if k == len(self.sections):
+                    self.sections.append([])
+                    self.gains.append([])
+                self.sections[k].append(s)
+                self.gains[k].append(g / total)
+        self.top = [max(g) for g in self.gains]
+        self.blocks: list[dict[int, float]] = [{} for _ in self.top]
+        self.ranges = np.zeros((len(self.top), RANGES), np.float32)
+        for k, (own, gains) in enumerate(zip(self.sections, self.gains, strict=True)):
+            for s, g in zip(own, gains, strict=True):
+                b = s // self.size
+                self.blocks[k][b] = max(self.blocks[k].get(b, 0.0), g)
+                self.ranges[k, b * RANGES // BLOCKS] = max(self.ranges[k, b * RANGES // BLOCKS], g)
+
+    def _wand(self, own: list[int]) -> Iterator[tuple[int, float]]:
+        """(section, score) at the threshold for a query of different terms: block-max WAND."""
+        sections, gains, top, blocks, size, need = self.sections, self.gains, self.top, self.blocks, self.size, self.threshold - SPARE
+        cursors = [[sections[t][0], t, 0] for t in own]  # section, term, place in its postings
+        while cursors:
+            cursors.sort()
+            bound, p = 0.0, -1
+            for k, c in enumerate(cursors):
+                bound += top[c[1]]
+                if bound >= need:
+                    p = k
+                    break
+            if p < 0:
+                break
+            pivot, n = cursors[p][0], p + 1
+            while n < len(cursors) and cursors[n][0] == pivot:
+                n += 1
+            block = pivot // size
+            if sum(blocks[c[1]].get(block, 0.0) for c in cursors[:n]) < need:
+                to = (block + 1) * size if n == len(cursors) else min((block + 1) * size, cursors[n][0])
+            elif cursors[0][0] == pivot:
+                score = sum(gains[c[1]][c[2]] for c in cursors[:n])
+                self.read += n
+                if score >= self.threshold:
+                    yield pivot, score
+                to = pivot + 1
+            else:
+                to = pivot
+            done = False
+            for c in cursors[:n]:
+                if c[0] < to:
+                    at = sections[c[1]]
+                    place = bisect.bisect_left(at, to, c[2])
+                    self.passed += place - c[2] - (c[0] == pivot and to == pivot + 1)
+                    if place < len(at):
+                        c[0], c[2] = at[place], place
+                    else:
+                        c[0], done = -1, True
+            if done:
+                cursors = [c for c in cursors if c[0] >= 0]
+        self.passed += sum(len(sections[t]) - at for _, t, at in cursors)
 
     def _windows(self, terms: list[str]) -> Iterator[tuple[int, int, float]]:
         """(window, section, score) at the threshold."""
@@ -109,23 +174,13 @@ class Index:
         pairs = np.unique(at // SECTION * width + ids[at])
         span, term = pairs // width, pairs % width
         spans, first = np.unique(span, return_index=True)
-        sums = np.zeros((-(-len(terms) // SECTION) + 1, BLOCKS // COARSE), np.float32)
-        sums[spans] = np.add.reduceat(self.coarse[term], first, axis=0)
+        sums = np.zeros((-(-len(terms) // SECTION) + 1, RANGES), np.float32)
+        sums[spans] = np.add.reduceat(self.ranges[term], first, axis=0)
         bounds = sums[:-1] + sums[1:]
-        bounds[-1:] = sums[-2:-1]
-        for w in np.flatnonzero((bounds >= self.threshold - 1e-4).any(1)).tolist():
+        for w in np.flatnonzero((bounds >= self.threshold - SPARE).any(1)).tolist():
             own = np.unique(term[slice(*np.searchsorted(span, (w, w + 2)))])  # a term of both spans counts once
-            blocks = set(np.flatnonzero(self.best[own].sum(0) >= self.threshold - 1e-4).tolist())
-            if not blocks:
-                continue
-            scores: dict[int, float] = defaultdict(float)
-            for t in own.tolist():
-                for s, g in self.postings[t]:
-                    if s // self.size in blocks:
-                        scores[s] += g
-            for s, g in scores.items():
-                if g >= self.threshold:
-                    yield w, s, g
+            for s, g in self._wand(own.tolist()):
+                yield w, s, g
 
     def search(self, text: str | None) -> list[dict]:
         """The items that a document holds: all retrieved whose question and answer overlap."""
@@ -150,34 +205,62 @@ class Index:
         return out
 
 
-def indexes(items: DataFrame, *, item_id: str = "item_id", text: str = "text", threshold: float = THRESHOLD) -> Iterator[Index]:
-    """Indexes of shards of the items. BM25's counts (sections, mean length, document frequencies) are of all items.
+def too_short(items: DataFrame, *, item_id: str = "item_id", text: str = "text") -> DataFrame:
+    """item_id, text of the items that have words, but fewer than SHORTEST."""
+    rows = items.select(F.col(f"`{item_id}`").cast("long").alias("item_id"), F.col(f"`{text}`").cast("string").alias("text"))
+    small_batches(items.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array([0 < len(terms_of(t)) < SHORTEST for t in batch.column(1).to_pylist()], pa.bool_()))
+
+    return rows.mapInArrow(run, rows.schema)
+
 
-    The items are read one at a time on the driver; it holds one shard and the frequencies.
-    """
+def indexes(items: DataFrame, *, item_id: str = "item_id", text: str = "text", threshold: float = THRESHOLD) -> Iterator[Index]:
+    """Indexes of shards of the items long enough. BM25's counts (sections, mean length, document frequencies) are of all of these."""
     rows = items.select(F.col(f"`{item_id}`").cast("long").alias("i"), F.col(f"`{text}`").cast("string").alias("t")).where(F.col("t").isNotNull()).orderBy("i", "t")
     df: Counter[str] = Counter()
     n = words = 0
     for r in rows.toLocalIterator():
         terms = terms_of(r.t)
+        if len(terms) < SHORTEST:
+            continue
         for at in range(0, len(terms), SECTION):
             df.update(set(terms[at : at + SECTION]))
             n += 1
         words += len(terms)
     stats, held, size = (n, words / max(n, 1), df), [], 0
-
-    def made() -> Index:
-        return Index(held, stats=stats, threshold=threshold)
-
     for r in rows.toLocalIterator():
-        sections = -(-len(terms_of(r.t)) // SECTION)
+        length = len(terms_of(r.t))
+        if length < SHORTEST:
+            continue
+        sections = -(-length // SECTION)
         if held and size + sections > SHARD:
-            yield made()
+            yield Index(held, stats=stats, threshold=threshold)
             held, size = [], 0
-        if sections:
-            held, size = [*held, (r.i, r.t)], size + sections
+        held, size = [*held, (r.i, r.t)], size + sections
     if held:
-        yield made()
+        yield Index(held, stats=stats, threshold=threshold)
+
+
+class Shards:
+    """Broadcast index shards of which a worker holds HELD at a time."""
+
+    def __init__(self, spark: SparkSession, made: Iterator[Index]):
+        self.sent = [spark.sparkContext.broadcast(index) for index in made]
+
+    def search(self, texts: list[str | None], *, back: bool) -> list[list[dict]]:
+        """The hits of each text, from all shards; every second call goes backwards, so that the shards held serve first."""
+        hits: list[list[dict]] = [[] for _ in texts]
+        order = self.sent[::-1] if back else self.sent
+        for k, sent in enumerate(order):
+            index = sent.value
+            for out, text in zip(hits, texts, strict=True):
+                out += index.search(text)
+            if k < len(order) - HELD:  # the last ones come first next time
+                vars(sent).pop("_value", None)
+        return hits
 
 
 def leaks(docs: DataFrame, items: DataFrame, *, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
@@ -185,19 +268,15 @@ def leaks(docs: DataFrame, items: DataFrame, *, doc_id: str = "doc_id", text: st
     spark = docs.sparkSession
     small_batches(spark)
     source = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text"))
-    schema = f"doc_id long, {FOUND}"
-    out = None
-    for index in indexes(items, item_id=item_id, text=item_text, threshold=threshold):
-        sent = spark.sparkContext.broadcast(index)
+    shards = Shards(spark, indexes(items, item_id=item_id, text=item_text, threshold=threshold))
 
-        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:  # noqa: ANN001
-            for batch in batches:
-                rows = [{"doc_id": one} | hit for one, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) for hit in sent.value.search(t)]
-                yield pa.RecordBatch.from_pylist(rows, schema=arrow)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for k, batch in enumerate(batches):
+            found = shards.search(batch.column(1).to_pylist(), back=bool(k % 2))
+            rows = [{"doc_id": one} | hit for one, hits in zip(batch.column(0).to_pylist(), found, strict=True) for hit in hits]
+            yield pa.RecordBatch.from_pylist(rows, schema=arrow)
 
-        found = source.mapInArrow(run, schema)
-        out = found if out is None else out.unionAll(found)
-    return spark.createDataFrame([], schema) if out is None else out
+    return source.mapInArrow(run, f"doc_id long, {FOUND}")
 
 
 arrow = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("score", pa.float64()), ("question_overlap", pa.float64()), ("answer_overlap", pa.float64()), ("first_word", pa.int64()), ("windows", pa.int64())])
@@ -208,15 +287,14 @@ def clean(docs: DataFrame, items: DataFrame, *, text: str = "text", item_id: str
     spark = docs.sparkSession
     small_batches(spark)
     at, columns = docs.columns.index(text), docs.columns
-    for index in indexes(items, item_id=item_id, text=item_text):
-        sent = spark.sparkContext.broadcast(index)
+    shards = Shards(spark, indexes(items, item_id=item_id, text=item_text))
 
-        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:  # noqa: ANN001
-            for batch in batches:
-                yield batch.filter(pa.array([not sent.value.search(t) for t in batch.column(at).to_pylist()], pa.bool_()))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for k, batch in enumerate(batches):
+            found = shards.search(batch.column(at).to_pylist(), back=bool(k % 2))
+            yield batch.filter(pa.array([not hits for hits in found], pa.bool_()))
 
-        docs = docs.select(*[F.col(f"`{c}`") for c in columns]).mapInArrow(run, docs.schema)
-    return docs
+    return docs.select(*[F.col(f"`{c}`") for c in columns]).mapInArrow(run, docs.schema)
 
 
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,21 +1,28 @@
 """Main text of web pages by tree scoring.
 
 The page is parsed into a tree of blocks, links and marked inline elements (whole pages, any nesting, open
-ends and stray closings allowed). Subtrees that are no content by element, role, class or id are set aside.
+ends and stray closings allowed; a quote opens a value behind "=" only). Subtrees that are no content by element,
+role, class or id are set aside: by a whole class name or id in MARKS, or by a word of one, unless the name says
+what its element has or lacks ("has-sidebar"). A word alone, or a form, does not set aside a subtree that holds
+most of the page's running text; paragraphs and inline elements go by the names of what is put between paragraphs
+only (PUT_IN), so that a `<p class="warning">` of the article stays.
+
 Every block of running text earns points for its length and its commas and passes them to its ancestors, the
-full sum to its parent, half to the next and a falling share beyond; a container's points are discounted by
-the share of its characters that are link text. The best container is kept (with the article element around
-it, if there is one), and those of its siblings that score well or read like its text. Within what is kept,
-lists and boxes that are mostly links go.
+full sum to its parent, half to the next and a falling share to the three beyond; a container's points are
+discounted by the share of its characters that are link text. The best container is kept (with the article
+element around it, if there is one), and those of its siblings that score well or read like its text. Within
+what is kept, lists and boxes that are mostly links go.
 
 What stands outside of any body counts as in an implied one (the root), and content ends a head left open.
-Null, empty and unreadable pages give an empty text; repeated rows give equal results; ties go to the
-container that opens first; only the named columns are read.
+Null, empty and unreadable pages give an empty text; very long pages are read whole, in time linear in their
+length; repeated rows stay and give equal results; ties go to the container that opens first; an empty table
+gives no rows; only the named columns are read, null ids and addresses stay null.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from html import unescape
 
 import pyarrow as pa
@@ -24,27 +31,36 @@ from pyspark.sql import functions as F
 
 from .common import per_batch, table
 
+#: What a tag holds behind its name: a quoted value may hold ">", and nothing here is tried twice.
+_INSIDE = r"(?:[^>=]++|=(?:\s*+(?:\"[^\"]*+\"|'[^']*+'))?+)*+"
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
-    r"|<(script|style|noscript|template|textarea|iframe|svg|math|title|select|object|canvas|audio|video)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</\1\s*[^>]*>|\Z)"
-    r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>"
+    rf"|<(script|style|noscript|template|textarea|iframe|svg|math|title|select|object|canvas|audio|video)\b{_INSIDE}>.*?(?:</\1\s*[^>]*>|\Z)"
+    rf"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)({_INSIDE})>"
     r"|<[!?/][^>]*(?:>|\Z)"
     r"|</?[a-zA-Z][^>]*\Z",
     re.S | re.I,
 )
-_ATTRIBUTE = re.compile(r"([a-zA-Z_:][-a-zA-Z0-9_:.]*)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?")
+_ATTRIBUTE = re.compile(r"([a-zA-Z_:][-a-zA-Z0-9_:.]*)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>][^\s>]*))?")
 
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = set("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var".split())
 ASIDE = set("nav footer aside form button menu dialog head datalist fieldset frameset".split())
 ROLES = set("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar form".split())
-#: Words of a class or an id that mark what is not the article.
+#: Names of classes and ids, and words of such names, that mark what is not the article.
 MARKS = set(
     "ad ads adv advert adverts advertisement advertising banner billboard breadcrumb breadcrumbs byline-share comment comments commentlist consent cookie cookies disqus footer "
     "footnav header hidden login masthead menu modal nav navbar navigation newsletter notice notices overlay pager pagination paywall popup promo promoted promotion "
     "promotions reader-comments recommended recommendations related replies reply respond responses search share sharing shoutbox sidebar signup skip social sponsor sponsored sponsors "
     "subscribe subscription tags teaser toolbar topbar warning widget widgets".split()
 )
+#: Those of them that are put between an article's paragraphs as paragraphs or inline elements of their own.
+PUT_IN = set("ad ads adv advert adverts advertisement advertising consent cookie cookies hidden newsletter notice notices promo promoted promotion promotions share sharing sponsor sponsored sponsors subscribe".split())
+#: Names with one of these words say what an element has or lacks, not what it is.
+SAYS = set("has have with without no non not is js can hide show shows enable enabled disable disabled layout page site wrap wrapper container content main".split())
+#: Words of comment sections, which may hold most of a page's text.
+THREADS = set("comment comments commentlist disqus reply replies respond responses shoutbox".split())
+PHRASES = {"p", "li", "dd", "dt", "td", "th", "pre", "blockquote", "h1", "h2", "h3", "h4", "h5", "h6"} | INLINE
 SEALED = {"html", "body", "article", "main"}
 #: Elements that an opening element of the same kind, or of these, closes.
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
@@ -59,20 +75,33 @@ def _attributes(raw: str) -> dict[str, str]:
     return {k.lower(): unescape(v.strip("\"'")) for k, v in _ATTRIBUTE.findall(raw)}
 
 
-def _marks(a: dict[str, str]) -> set[str]:
-    """The words of class and id, and each name as a whole."""
-    names = f"{a.get('class', '')} {a.get('id', '')}".split()
-    return {n.lower() for n in names} | {p.lower() for n in names for p in _PARTS.findall(n)}
+def _names(a: dict[str, str]) -> list[str]:
+    return f"{a.get('class', '')} {a.get('id', '')}".split()
 
 
-def _set_aside(tag: str, a: dict[str, str], marks: set[str], in_article: bool) -> bool:
+def _set_aside(tag: str, a: dict[str, str], names: list[str], in_article: bool) -> int:
+    """0: content; 1: none, unless it holds most of the page's running text; 2: none."""
+    if tag == "form":
+        return 1
     if tag in ASIDE or tag == "header" and not in_article:
-        return True
-    if tag in SEALED:
-        return False
+        return 2
+    if tag in SEALED or not a:
+        return 0
     if "hidden" in a or a.get("aria-hidden", "").lower() == "true" or "display:none" in a.get("style", "").replace(" ", "").lower():
-        return True
-    return a.get("role", "").lower() in ROLES or bool(marks & MARKS)
+        return 2
+    if a.get("role", "").lower() in ROLES:
+        return 1 if a["role"].lower() == "form" else 2
+    found = 0
+    for name in names:
+        if tag in PHRASES and in_article:
+            found = max(found, 2 * (name.lower() in PUT_IN or any(w.lower() in PUT_IN for w in _PARTS.findall(name))))
+        elif name.lower() in MARKS:
+            return 2
+        else:
+            parts = [w.lower() for w in _PARTS.findall(name)]
+            if MARKS.intersection(parts) and not (SAYS.intersection(parts[:-1]) and parts[0] in SAYS):
+                found = max(found, 2 if THREADS.intersection(parts) else 1)
+    return found
 
 
 def extract(html: str | None) -> str:
@@ -80,8 +109,14 @@ def extract(html: str | None) -> str:
     if not html:
         return ""
     # Nodes in page order; a parent comes before its children.
-    tags, parents, gone, block, link, inside, bonus = ["root"], [0], [False], [0], [False], [False], [0.0]
+    tags, parents, aside, block, link, inside, bonus = ["root"], [0], [0], [0], [False], [False], [0.0]
     stack, texts, broken, at = [0], [], True, 0
+    opened: Counter[str] = Counter()  # elements of each kind on the stack
+    def close(k: int) -> None:
+        for node in stack[k:]:
+            opened[tags[node]] -= 1
+        del stack[k:]
+
     for m in _TOKEN.finditer(html):
         if m.start() > at:
             texts.append((stack[-1], html[at : m.start()], broken))
@@ -94,10 +129,10 @@ def extract(html: str | None) -> str:
         if m[2]:
             if tag == "p" or tag not in INLINE:
                 broken = True
-            for k in range(len(stack) - 1, 0, -1):
+            for k in range(len(stack) - 1, 0, -1) if opened[tag] else ():
                 own = tags[stack[k]]
                 if own == tag:
-                    del stack[k:]
+                    close(k)
                     break
                 if tag in INLINE and own not in INLINE:
                     break
@@ -108,58 +143,73 @@ def extract(html: str | None) -> str:
                 broken = True
             continue
         if tags[stack[-1]] == "head":
-            stack.pop()  # what belongs there is void or was skipped as a whole
+            close(len(stack) - 1)  # what belongs there is void or was skipped as a whole
         inline = tag in INLINE
         if inline and tag != "a" and not raw:
             continue  # plain formatting does not shape the tree
         if not inline:
             broken = True
-            for k in range(len(stack) - 1, 0, -1):  # a block ends an open paragraph
+            for k in range(len(stack) - 1, 0, -1) if opened["p"] else ():  # a block ends an open paragraph
                 own = tags[stack[k]]
                 if own == "p":
-                    del stack[k:]
+                    close(k)
                     break
                 if own not in INLINE:
                     break
             ends = CLOSES.get(tag)
-            if ends:
+            if ends and any(opened[x] for x in ends):
                 for k in range(len(stack) - 1, 0, -1):
                     own = tags[stack[k]]
                     if own in ends:
-                        del stack[k:]
+                        close(k)
                         break
                     if own in SCOPES:
                         break
         elif tag == "a":
-            for k in range(len(stack) - 1, 0, -1):
+            for k in range(len(stack) - 1, 0, -1) if opened["a"] else ():
                 if tags[stack[k]] == "a":
-                    del stack[k:]
+                    close(k)
                     break
                 if tags[stack[k]] not in INLINE:
                     break
         up = stack[-1]
         a = _attributes(raw) if raw else {}
-        marks = _marks(a) if a else set()
+        names = _names(a) if a else []
         n = len(tags)
         tags.append(tag)
         parents.append(up)
-        gone.append(gone[up] or _set_aside(tag, a, marks, inside[up]))
+        aside.append(_set_aside(tag, a, names, inside[up]))
         block.append(block[up] if inline else n)
         link.append(link[up] or tag == "a")
         inside.append(inside[up] or tag in ("article", "main"))
-        bonus.append(BONUS.get(tag, 0.0) + (10.0 if marks & GOOD else 0.0))
+        bonus.append(BONUS.get(tag, 0.0) + (10.0 if names and any(w.lower() in GOOD for x in names for w in _PARTS.findall(x)) else 0.0))
         if not raw.endswith("/"):
             stack.append(n)
+            opened[tag] += 1
     if at < len(html):
         texts.append((stack[-1], html[at:], broken))
 
-    chars, linked, commas = [0] * len(tags), [0] * len(tags), [0] * len(tags)
-    clean = []
+    clean, sizes = [], []
+    prose = [0] * len(tags)
     for node, text, brk in texts:
         text = unescape(text) if "&" in text else text
+        n = sum(map(len, text.split())) + text.count(" ") if text.strip() else 0
         clean.append((node, text, brk))
-        n = sum(map(len, text.split())) + text.count(" ")
-        if not n or not text.strip() or gone[node]:
+        sizes.append(n)
+        if not link[node]:
+            prose[node] += n
+    gone = [x == 2 for x in aside]
+    for k in range(1, len(tags)):
+        gone[k] = gone[k] or gone[parents[k]]
+    if 1 in aside:  # of the rest, what holds most of the running text stays
+        held = [0 if g else n for g, n in zip(gone, prose, strict=True)]
+        for k in range(len(tags) - 1, 0, -1):
+            held[parents[k]] += held[k]
+        for k in range(1, len(tags)):
+            gone[k] = gone[parents[k]] or gone[k] or aside[k] == 1 and 2 * held[k] <= held[0]
+    chars, linked, commas = [0] * len(tags), [0] * len(tags), [0] * len(tags)
+    for (node, text, _), n in zip(clean, sizes, strict=True):
+        if not n or gone[node]:
             continue
         b = block[node]
         chars[b] += n
@@ -172,8 +222,8 @@ def extract(html: str | None) -> str:
             earned = (1 + commas[b] + chars[b] / 100) * (1 - linked[b] / chars[b])
             node, level = b if tags[b] not in ("p", "h1", "h2", "h3", "h4", "h5", "h6", "li", "pre", "blockquote") else parents[b], 0
             while True:
-                points[node] += earned / (1, 2)[level] if level < 2 else earned / (3 * level)
-                if not node:
+                points[node] += earned / (1, 2, 6, 9, 12)[level]
+                if not node or level == 4:
                     break
                 node, level = parents[node], level + 1
     total, total_linked = chars[:], linked[:]

@@ -8,9 +8,10 @@ rest) finds every link, and the join condition verifies the distance and reports
 Buckets over HOT fingerprints are cut again by the same rule on the other segment's halves, so that no
 bucket of a dense group is compared as a whole.
 
-Null and blank texts have fingerprint zero and are linked like any other; rows with a null id keep their
-fingerprint and take the smallest id of their component, null if there is none; repeated rows stay; an empty
-table gives no rows; other columns are not read.
+Null and blank texts have fingerprint zero and are linked like any other; very long texts are hashed whole; rows
+with a null id keep their fingerprint and take the smallest id of their component, null if there is none; ids are
+compared by size, so there are no ties; repeated rows stay; an empty table gives no rows; `one_of_each` passes all
+columns through, whatever their names, the others read the named columns only.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, per_batch, table
+from .common import cut, packed, per_batch, table, unpacked
 
 BITS, DISTANCE, SHINGLE = 64, 3, 3
 
@@ -189,7 +190,8 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     stays = F.max(F.col("doc_id") == F.col("component_id"))
     dropped = cut(near_duplicates(docs).where("doc_id IS NOT NULL").groupBy("doc_id").agg(stays.alias("stays")).where("NOT stays").select(F.col("doc_id").alias("dropped_id")))
     bounded = dropped.count() <= BROADCAST_IDS
-    return docs.join(F.broadcast(dropped) if bounded else dropped, docs["doc_id"] == F.col("dropped_id"), "left_anti")
+    rows = packed(docs, id=F.col("doc_id").cast("long"))
+    return unpacked(rows.join(F.broadcast(dropped) if bounded else dropped, F.col("id") == F.col("dropped_id"), "left_anti"), docs.columns)
 
 
 QUERIES = {"op10_simhash": op10_simhash}

@@ -136,7 +136,7 @@ def pack(docs: DataFrame, *, tokenizer: str, length: int = LENGTH, end: int = EN
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        made = encoder(tokenizer, drops_space=False)
+        made = encoder(tokenizer)
         packer = Packer(TaskContext.get().partitionId() << SHIFT, length)
         out: list[tuple] = []
 

@@ -112,10 +112,10 @@ def decode_blocks(raw: bytes, starts: np.ndarray) -> np.ndarray:
 
 
 def _open(path: str):  # noqa: ANN202
-    """The file system of a path or URL that executors share, and the path in it."""
+    """The file system of a URL that executors share, and the path in it."""
     from pyarrow import fs
 
-    return fs.FileSystem.from_uri(path) if ":" in path.split("/", 1)[0] else (fs.LocalFileSystem(), path)
+    return fs.FileSystem.from_uri(path)
 
 
 class Writer:
@@ -197,7 +197,7 @@ def write_tokens(docs: DataFrame, path: str, *, tokenizer: str, end: int = END,
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        part, made, out = TaskContext.get().partitionId(), encoder(tokenizer, drops_space=True), None
+        part, made, out = TaskContext.get().partitionId(), encoder(tokenizer), None
         name = f"part-{part:06d}-{uuid.uuid4().hex}.spf"
         for batch in batches:
             out = out or Writer(f"{path}/ids/{name}")

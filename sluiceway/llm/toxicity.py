@@ -1,20 +1,27 @@
 """Toxicity by maximum-scoring segments.
 
-Every word has a log-odds between toxic and clean texts. Its counts are smoothed with a Dirichlet prior that
-its prefixes supply, the longer over the shorter (the shortest over the whole vocabulary), so that unseen
-words of a known family score too. Less a drift, common words score below zero; one scan in linear time
-(Ruzzo and Tompa) then finds all maximal segments of positive total. Repeats of a word within a segment are no
-further evidence: a segment counts for the greatest total of a stretch of it in which a word speaks once; what
-other segments hold does not matter. The greatest scores of clean texts
-follow an extreme-value law whose location grows with the logarithm of a text's length; it is fitted on clean
-texts that the log-odds did not see. Segments rarer than SIGNIFICANT under it are the toxic passages, and a
-text's surprise (the sum over its segments of -log of their chances) becomes a probability by logistic
-calibration on the same held-back texts.
-
-The model is fitted on at most MOST labelled rows of each label, taken in the order of a hash of their text,
-in one task; rows to score go through whole. Null and empty texts have no segment and get the score of a text
-without any; null labels are not learned from; without labelled rows of both kinds every score is 0; repeated
-rows and clashing or extra columns do no harm, as only the named columns are read.
+Every word has a log-odds between toxic and clean texts, from its rate among the words of either kind; a text
+counts a word by the square root of its occurrences there, as repeats say less than new texts. The rates are
+smoothed with a Dirichlet prior that the word's prefixes supply, the longer over the shorter (the shortest
+over the whole vocabulary), so that unseen words of a known family score too. Less a drift, common words
+score below zero; one scan in linear time (Ruzzo and Tompa) then finds all maximal segments of positive total.
+Repeats of a word within a segment are no further evidence: a segment counts for the greatest total of a
+stretch of it in which a word speaks once.
+
+The greatest scores of clean texts follow an extreme-value law whose location grows with the logarithm of a
+text's length; it is fitted on clean texts that the log-odds did not see. Segments rarer than SIGNIFICANT under
+it are the toxic passages, each judged by itself, whatever other passages hold. A text as a whole is judged by
+the sum statistics of that law (Karlin and Altschul): its surprise is the greatest -log chance of the r best
+segments together, over all r, a word's evidence counting in the best of them only. Logistic calibration on the
+held-back texts turns it into a probability.
+
+The model is fitted on at most MOST labelled rows of each label, taken in the order of a hash (of the id, or of
+the text where there is none), in one task that holds their texts; rows to score go through whole, in linear
+time but for the n log n of words repeated within one segment. Null and empty texts have no segment and get the
+score of a text without any; null labels and labels without an id are not learned from; an id with both labels
+is toxic; without labelled rows of both kinds every score is 0; ties among segments go to the earlier; equal
+texts get equal scores, and repeated rows and null ids stay; empty tables give no rows; clashing or extra
+columns do no harm, as only the named columns are read.
 """
 
 from __future__ import annotations
@@ -35,7 +42,8 @@ from .common import cut, small_batches, table
 #: Labelled rows of each label that the model may be fitted on.
 MOST = 3_000
 
-PREFIXES, KAPPA, DRIFT, SIGNIFICANT = (3, 4, 5, 6), 3.0, 1.0, 1e-3
+#: Drift, prior strength, prefixes and the way of counting were compared by cross-validation within the training rows.
+PREFIXES, KAPPA, DRIFT, SIGNIFICANT = (3, 4, 5, 6), 3.0, 2.0, 1e-3
 
 #: Word scores that a worker keeps.
 KEPT = 300_000
@@ -55,19 +63,20 @@ def segments(scores: np.ndarray) -> list[tuple[int, int, float]]:
     sums = np.concatenate(([0.0], np.cumsum(scores)))
     breaks = np.flatnonzero(np.diff(at) > 1) + 1
     runs = [(int(a[0]), int(a[-1]) + 1) for a in np.split(at, breaks)]
-    held: list[tuple[int, int, float, float]] = []  # first, end, sum before, sum after
+    # first, end, sum before, sum after, and the nearest earlier segment that starts lower: links are passed once each.
+    held: list[tuple[int, int, float, float, int]] = []
     for lo, hi in runs:
-        one = (lo, hi, float(sums[lo]), float(sums[hi]))
+        first, before, after, k = lo, float(sums[lo]), float(sums[hi]), len(held) - 1
         while True:
-            k = len(held) - 1
-            while k >= 0 and held[k][2] >= one[2]:
-                k -= 1
-            if k < 0 or held[k][3] >= one[3]:
-                held.append(one)
+            while k >= 0 and held[k][2] >= before:
+                k = held[k][4]
+            if k < 0 or held[k][3] >= after:
+                held.append((first, hi, before, after, k))
                 break
-            one = (held[k][0], one[1], held[k][2], one[3])
+            first, _, before, _, link = held[k]
             del held[k:]
-    return [(a, b, y - x) for a, b, x, y in held]
+            k = link
+    return [(a, b, y - x) for a, b, x, y, _ in held]
 
 
 def evidence(scores: np.ndarray, found: list[str]) -> float:
@@ -103,20 +112,20 @@ def evidence(scores: np.ndarray, found: list[str]) -> float:
 
 
 class Odds:
-    """Log-odds of words, from document counts in toxic and clean texts."""
+    """Log-odds of words, from damped word counts in toxic and clean texts."""
 
     def __init__(self, toxic: Iterable[str], clean: Iterable[str]):
-        toxic, clean = list(toxic), list(clean)
         levels: list[dict[str, list[float]]] = [{} for _ in range(len(PREFIXES) + 1)]
+        sizes = [0.0, 0.0]
         for k, texts in enumerate((clean, toxic)):
             for text in texts:
-                own = set(words(text))
-                for level, n in enumerate((*PREFIXES, None)):
-                    for w in {w[:n] for w in own}:
-                        levels[level].setdefault(w, [0.0, 0.0])[k] += 1
-        self.weights = (1 / max(1, len(clean)), 1 / max(1, len(toxic)))
-        scale = 2 / (self.weights[0] + self.weights[1])
-        self.weights = tuple(w * scale for w in self.weights)
+                for w, n in Counter(words(text)).items():
+                    sizes[k] += (n := math.sqrt(n))
+                    for level, m in enumerate((*PREFIXES, None)):
+                        levels[level].setdefault(w[:m], [0.0, 0.0])[k] += n
+        # Counts of either kind as in a body of text of the smaller one's size.
+        least = min(sizes)
+        self.weights = (least / max(sizes[0], 1e-9), least / max(sizes[1], 1e-9))
         # What scores like its prefix needs no entry.
         self.levels = [{w: tuple(c) for w, c in x.items() if c[1] or c[0] > 1} for x in levels]
 
@@ -148,24 +157,39 @@ class Model:
             got = [new[w] if s is None else s for w, s in zip(found, got, strict=True)]
         return np.array(got, np.float64)
 
+    def excess(self, total: float, length: int) -> float:
+        """A total on the law's own scale: its expected number in a clean text of so many words is exp(-excess)."""
+        return (total - self.place) / self.scale - math.log(max(length, 1))
+
     def chance(self, total: float, length: int) -> float:
         """Chance that a clean text of so many words has a segment of this total."""
-        z = (total - self.place - self.scale * math.log(max(length, 1))) / self.scale
-        return -math.expm1(-math.exp(min(700.0, -z)))
+        return -math.expm1(-math.exp(min(700.0, -self.excess(total, length))))
 
     def passages(self, text: str | None) -> tuple[list[tuple[int, int, float, float]], float]:
-        """Significant segments (first word, end, total, chance), and the surprise."""
+        """Significant segments (first word, end, total, chance), and the surprise of the whole text."""
         found = words(text)
-        out, surprise = [], 0.0
-        scores = self.scores(found)
+        scores, out, near, n = self.scores(found), [], [], len(found)
         for lo, hi, total in segments(scores):
-            if self.chance(total, len(found)) >= SIGNIFICANT:
+            if self.excess(total, n) <= 0:
                 continue  # its evidence is no greater
             total = evidence(scores[lo:hi], found[lo:hi])
-            p = max(self.chance(total, len(found)), 1e-300)
+            p = max(self.chance(total, n), 1e-300)
             if p < SIGNIFICANT:
                 out.append((lo, hi, total, p))
-                surprise -= math.log(p)
+            near.append((-total, lo, hi))
+        spoken: set[str] = set()
+        r, held, surprise = 0, 0.0, 0.0
+        for total, lo, hi in sorted(near):
+            own, part = found[lo:hi], scores[lo:hi]
+            total = -total
+            if spoken and any(w in spoken and x > 0 for w, x in zip(own, part, strict=True)):
+                part = np.array([0.0 if w in spoken and x > 0 else x for w, x in zip(own, part, strict=True)])
+                total = evidence(part, own)
+            if (more := self.excess(total, n)) <= 0:
+                continue
+            spoken.update(w for w, x in zip(own, part, strict=True) if x > 0)
+            r, held = r + 1, held + more
+            surprise = max(surprise, held - (r - 1) * math.log(max(held, 1.0)) + math.lgamma(r + 1) + math.lgamma(r) - (r - 1) * math.log(2))
         return out, surprise
 
     def probability(self, surprise: float) -> float:

@@ -1,9 +1,11 @@
 """Line dedup, near duplicates and quality rules: edge cases and brute force."""
 
+import math
 import random
 import re
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -16,7 +18,13 @@ def test_line_dedup_edge_cases(spark):
     rows = [(i, "a", f"Menu \n own {i}\n\n", "x", "y") for i in range(8)] + [(100, "a", "Menu", "x", "y"), (101, None, "Menu\nown", None, None), (102, "a", None, None, None), (103, "a", "", "x", "y"), (0, "a", "Menu \n own 0\n\n", "x", "y")]
     got = {(r.doc_id, r.source): r for r in line_dedup.drop_boilerplate(spark.createDataFrame(rows, LINES), ratio=0.5).collect()}
     assert got[(1, "a")].text == " own 1\n\n" and (got[(1, "a")].n_lines, got[(1, "a")].n_dropped) == (2, 1)
-    assert got[(100, "a")].text == "Menu" and got[(100, "a")].n_dropped == 0  # all of it repeats: left to document dedup
+    assert got[(100, "a")].text == "" and got[(100, "a")].n_dropped == 1  # all of it repeats
+    spared = {r.doc_id: r for r in line_dedup.drop_boilerplate(spark.createDataFrame(rows, LINES), ratio=0.5, spare_whole=True).collect()}
+    assert spared[100].text == "Menu" and spared[100].n_dropped == 0 and spared[1].text == " own 1\n\n"
+    few = spark.createDataFrame([(1, "one", "a\nb", "", ""), (2, "two", "m\nx", "", ""), (3, "two", "m\ny", "", ""), (4, "t", "same", "", ""), (5, "t", "same\n\n", "", "")], LINES)
+    assert {r.doc_id: r.text for r in line_dedup.drop_boilerplate(few).collect()} == {1: "a\nb", 2: "x", 3: "y", 4: "", 5: "\n"}
+    long = spark.createDataFrame([(k, "a", "Menu\n" + f"w{k} " * 300_000, "", "") for k in range(3)], LINES)
+    assert all(r.n_dropped == 1 and len(r.text) > 600_000 for r in line_dedup.drop_boilerplate(long).collect())
     assert got[(101, None)].text == "Menu\nown" and got[(102, "a")].text is None and got[(103, "a")].text == ""
     made = line_dedup.drop_boilerplate(spark.createDataFrame(rows, LINES), ratio=0.5)
     assert made.count() == len(rows) and made.columns == ["doc_id", "source", "text", "h", "n_lines", "n_dropped"] and dict(made.dtypes)["n_lines"] == "bigint"
@@ -133,7 +141,7 @@ def test_outliers_are_rejected_and_others_kept(spark):
     rows = [(i, " ".join("".join(rnd.choice("abcdefgh") for _ in range(rnd.randrange(2, 8))) for _ in range(rnd.randrange(60, 400))), "en", "s") for i in range(300)]
     rows += [(1000 + i, " ".join(f"{rnd.randrange(10**6)}$$$###" for _ in range(200)), "en", "s") for i in range(20)]
     rows += [(2000, " ".join(f"{k}$$$###" for k in range(50)), None, "tiny")]
-    got = {r.doc_id: r.kept for r in quality.outliers(quality.base_stats(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string"), keep=["doc_id", "lang", "source"])).collect()}
+    got = {r.doc_id: r.kept for r in quality.outliers(quality.base_stats(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").repartition(2), keep=["doc_id", "lang", "source"])).collect()}
     assert all(got[i] for i in range(300)) and not any(got[1000 + i] for i in range(20)) and got[2000]
     empty = spark.createDataFrame([], "doc_id long, text string, lang string, source string")
     assert quality.outliers(quality.base_stats(empty, keep=["doc_id", "lang", "source"])).count() == 0
@@ -145,7 +153,7 @@ def test_small_groups_are_compared_with_larger_populations(spark):
     junk = lambda: " ".join(f"{rnd.randrange(10**6)}$$$###" for _ in range(100))
     rows = [(i, text(rnd.randrange(60, 400)), "en", "large" if i < 90 else f"s{i}") for i in range(100)] + [(200 + i, text(rnd.randrange(60, 400)), f"l{i}", "s") for i in range(9)]
     rows += [(1000, junk(), "en", "alone"), (1001, junk(), "rare", "s"), (1002, junk(), "rare", None), (1003, junk(), None, "s")]
-    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").repartition(2)
     judge = lambda df: {r.doc_id: r for r in quality.outliers(quality.base_stats(df, keep=["doc_id", "lang", "source"])).collect()}
     got = judge(frame)
     assert {i for i in got if not got[i].kept} == {1000, 1001, 1002} and len(got) == len(rows)
@@ -158,3 +166,85 @@ def test_quality_runs_no_python(spark):
     df = spark.createDataFrame([(1, "a b", "en", "s")], "doc_id long, text string, lang string, source string").withColumn("doc_id", F.col("doc_id"))
     plan = quality.base_stats(df, keep=["doc_id", "lang", "source"])._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+CLASHING = ["g", "n", "d", "limit", "median", "distance_", "fp", "row", "dropped_id", "id", "component_id", "start", "salt", "ok", "far", "host", "h", "kept_", "tagged", "x0", "m_0"]
+
+
+def test_other_columns_may_have_any_name(spark):
+    rows = [(i, f"some words of the text {i} and more of them than ten in all\nMenu", "en", "s") for i in range(60)] + [(60, "some words of the text 0 and more of them than ten in all\nMenu", "en", "s")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").repartition(2).withColumns({c: F.lit(f"<{c}>") for c in CLASHING})
+    kept = near_dup.one_of_each(df)
+    assert kept.columns == df.columns and {tuple(r)[4:] for r in kept.collect()} == {tuple(f"<{c}>" for c in CLASHING)} and 60 not in {r.doc_id for r in kept.collect()}
+    lines = line_dedup.drop_boilerplate(df)
+    assert lines.columns == [*df.columns, "n_lines", "n_dropped"] and all(r["host"] == "<host>" and r.n_dropped >= 1 for r in lines.collect())
+    stats = quality.base_stats(df, keep=["doc_id", "lang", "source", *CLASHING])
+    judged = quality.outliers(stats)
+    assert judged.columns == [*stats.columns, "distance", "kept"] and all(r.median == "<median>" and r.kept is not None for r in judged.collect())
+    plan = judged._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Arrow" not in plan
+
+
+def plain_mcd(x):
+    """The same estimate in NumPy: three starts, steps until the determinant settles, the least of all."""
+    n, p = x.shape
+    at = lambda v, q: np.sort(v)[math.ceil(q * len(v)) - 1]
+    floors = np.array(quality.FLOORS) ** 2
+    m = np.array([at(x[:, i], 0.5) for i in range(p)])
+    s = np.sqrt((1.4826 * np.array([at(abs(x[:, i] - m[i]), 0.5) for i in range(p)])) ** 2 + floors)
+    z = (x - m) / s
+    u = z / np.maximum(np.linalg.norm(z, axis=1), 1e-9)[:, None]
+    t = np.cov(np.tanh(z).T, bias=True)
+    t /= np.sqrt(np.outer(np.maximum(np.diag(t), 1e-6), np.maximum(np.diag(t), 1e-6)))
+    found = []
+    for shape in (np.eye(p), t, p * (u.T @ u) / n):
+        found.append(concentrated(x, m, np.outer(s, s) * shape + np.diag(floors)))
+    return min(found, key=lambda e: e[2])
+
+
+def concentrated(x, m, c):
+    before, seen = math.inf, []
+    while True:
+        d = ((x - m) @ np.linalg.inv(c) * (x - m)).sum(1)
+        near = x[d <= np.sort(d)[math.ceil(quality.SHARE * len(x)) - 1] * (1 + 1e-12)]
+        m, c = near.mean(0), np.cov(near.T, bias=True) + np.diag(np.array(quality.FLOORS) ** 2)
+        seen.append((m, c, np.linalg.slogdet(c)[1]))
+        if seen[-1][2] >= before - quality.SETTLED:
+            return min(seen, key=lambda e: e[2])
+        before = seen[-1][2]
+
+
+def test_estimates_equal_plain_numpy(spark):
+    rnd = np.random.default_rng(4)
+    groups = {}
+    for g, n, far in (("a", 300, 0.0), ("b", 400, 0.2), ("c", 120, 0.1), ("d", 7, 0.0)):
+        x = rnd.normal(size=(n, 5)) @ rnd.normal(size=(5, 5)) + rnd.normal(size=5)
+        x[: int(far * n)] += np.array([8.0, 0, 9.0, 0, 7.0])
+        groups[g] = x
+    groups["e"] = np.repeat(rnd.normal(size=(3, 5)), 20, axis=0)
+    rows = [(g, *map(float, r)) for g, x in groups.items() for r in x]
+    got = {r.g: r for r in quality.estimates(spark.createDataFrame(rows, "g string, x0 double, x1 double, x2 double, x3 double, x4 double")).collect()}
+    assert sorted(got) == sorted(groups)
+    for g, x in groups.items():
+        m, c, logdet = plain_mcd(x)
+        r, low = got[g], np.zeros((5, 5))
+        for i, j in quality.PAIRS:
+            low[i, j] = r[f"l_{i}_{j}"]
+        assert r.logdet == pytest.approx(logdet, abs=1e-6), g
+        assert np.allclose([r[f"m_{i}"] for i in range(5)], m, atol=1e-6) and np.allclose(low @ low.T, c, atol=1e-6), g
+        if len(x) > 100:  # no worse than the best of many random starts
+            starts = [x[rnd.choice(len(x), 6, replace=False)] for _ in range(60)]
+            assert r.logdet <= min(concentrated(x, y.mean(0), np.cov(y.T, bias=True) + np.diag(np.array(quality.FLOORS) ** 2))[2] for y in starts) + 0.02, g
+
+
+def test_groups_joined_by_shuffle(spark):
+    rows = spark.createDataFrame([(g, *[float(k)] * 5) for k in range(40) for g in ("a", "b", "c")], "g string, x0 double, x1 double, x2 double, x3 double, x4 double")
+    groups = spark.createDataFrame([("a", 1.5), ("b", 2.5)], "g string, value double")
+    for how, n in (("inner", 80), ("left", 120)):
+        got = [sorted(map(tuple, quality._joined(rows, groups, bounded, how).select("g", "x0", "value").fillna(-1.0).collect())) for bounded in (True, False)]
+        assert got[0] == got[1] and len(got[0]) == n
+
+
+def test_simhash_of_very_long_and_repeated_rows(spark):
+    df = spark.createDataFrame([(k, "a long text of words " * 100_000) for k in (7, 4, 4)] + [(9, "other")], "doc_id long, text string")
+    assert sorted((r.doc_id, r.component_id) for r in near_dup.near_duplicates(df).collect()) == [(4, 4), (4, 4), (7, 4), (9, 9)]

@@ -10,7 +10,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
-from sluiceway.llm import packing, token_file
+from sluiceway.llm import bpe, packing, token_file
 from sluiceway.llm.bpe import encoder
 
 WORD, BYTE = P.path("word_bpe_49k.json"), P.path("byte_bpe_50k.json")
@@ -26,11 +26,11 @@ def exact(path, text):
 exact.held = {}
 
 
-@pytest.mark.parametrize(("path", "drops"), [(WORD, True), (BYTE, False)])
+@pytest.mark.parametrize("path", [WORD, BYTE])
 @settings(max_examples=400, deadline=None)
 @given(text=st.one_of(st.text(alphabet=LETTERS, max_size=60), st.text(max_size=40).filter(lambda s: not any(0xD800 <= ord(c) < 0xE000 for c in s))))
-def test_ids_equal_the_tokenizers(path, drops, text):
-    got = np.frombuffer(encoder(path, drops).encode_many([text], 7)[0], "<u4").tolist()
+def test_ids_equal_the_tokenizers(path, text):
+    got = np.frombuffer(encoder(path).encode_many([text], 7)[0], "<u4").tolist()
     assert got == [*exact(path, text), 7]
 
 
@@ -132,3 +132,82 @@ def test_costs_are_balanced():
         at += len(p)
     plain = [sum(packing.LINEAR * len(p) + packing.QUADRATIC * len(p) ** 2 for p in s) for s in first_fit]
     assert np.std(cost) < 0.5 * np.std(plain)
+
+
+def test_other_vocabularies_encode_whole_texts(tmp_path):
+    import json
+
+    with open(BYTE, encoding="utf-8") as f:
+        made = json.load(f)
+    made["pre_tokenizer"]["add_prefix_space"] = True
+    other = f"{tmp_path}/other.json"
+    with open(other, "w", encoding="utf-8") as f:
+        json.dump(made, f)
+    assert (bpe.kind_of(WORD), bpe.kind_of(BYTE), bpe.kind_of(other)) == ("drops", "keeps", None)
+    for text in ("", "plain words here", " <|endoftext|> é  x"):
+        assert np.frombuffer(encoder(other).encode_many([text], 7)[0], "<u4").tolist() == [*exact(other, text), 7]
+
+
+@pytest.mark.parametrize("path", [WORD, BYTE])
+def test_cache_is_bounded_by_bytes(monkeypatch, path):
+    monkeypatch.setattr(bpe, "CACHED", 20_000)
+    made, rnd = bpe.Encoder(path), random.Random(1)
+    for _ in range(30):
+        texts = [" ".join("".join(rnd.choices("abcdeé日", k=rnd.randrange(1, 6))) for _ in range(50)), "a" * 30_000]
+        for t, ids in zip(texts, made.encode_many(texts, 7), strict=True):
+            assert np.frombuffer(ids, "<u4").tolist() == [*exact(path, t), 7]
+        assert made.held <= 20_000 and sum(bpe.ENTRY + len(k) + len(v) for k, v in made.known.items()) == made.held
+
+
+def test_any_vocabulary_goes_into_files_and_sequences(spark, tmp_path):
+    docs = spark.createDataFrame(DOCS, "doc_id long, text string")
+    token_file.write_tokens(docs, f"file://{tmp_path}/b", tokenizer=BYTE, partitions=2)
+    got = {(r.doc_id, r.n_tokens) for r in token_file.read_tokens(spark, f"file://{tmp_path}/b").collect()}
+    assert got == {(i, len(exact(BYTE, t or "")) + 1) for i, t in DOCS}
+    pieces = packing.pack(docs.where("doc_id IN (3, 9)"), tokenizer=WORD).collect()
+    assert sum(p.length for p in pieces) == sum(len(exact(WORD, t)) + 1 for i, t in DOCS if i in (3, 9))
+
+
+@pytest.mark.parametrize("name", ["op2_token_file", "op9_packing"])
+def test_registered_queries_equal_the_tokenizers(spark, name):
+    from sluiceway.llm import QUERIES
+
+    from ..conftest import SMALL
+
+    docs = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{SMALL}/documents.parquet").collect()}
+    got = [r.asDict() for r in QUERIES[name](spark, SMALL).collect()]
+    if name == "op9_packing":
+        check_packing(got, {i: [*exact(BYTE, t), 1] for i, t in docs.items()}, 2048)
+        return
+    start = 0
+    by = {r["doc_id"]: r for r in got}
+    assert len(by) == len(got) == len(docs)
+    for i in sorted(docs):
+        ids = np.array([*exact(WORD, docs[i]), 2], "<u4")
+        assert (by[i]["start"], by[i]["n_tokens"], by[i]["ids_crc32"]) == (start, len(ids), zlib.crc32(ids.tobytes()))
+        start += len(ids)
+
+
+def test_scratch_needs_a_shared_folder_on_a_cluster(monkeypatch):
+    from types import SimpleNamespace
+
+    from sluiceway.llm import common
+
+    remote = SimpleNamespace(conf=SimpleNamespace(get=lambda *_: None), sparkContext=SimpleNamespace(master="spark://host:7077", getCheckpointDir=lambda: None))
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        common.work_dir(remote)
+
+
+def test_scratch_is_removed(spark):
+    import os
+
+    from sluiceway.llm import common
+
+    kept, common._scratch[:] = common._scratch[:], []
+    path = common.scratch(spark, "x")
+    spark.range(3).write.parquet(path)
+    at = path.split("file:")[-1].replace("//", "/")
+    assert os.path.exists(at)
+    common.clear()
+    assert not os.path.exists(at)
+    common._scratch.extend(kept)
