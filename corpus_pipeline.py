@@ -1,4 +1,10 @@
-"""The corpus pipeline: five stages of the corpus operators, each written as Parquet and reread by the next."""
+"""The corpus pipeline: five stages of the corpus operators, each written as Parquet and reread by the next.
+
+Documents with a null or blank text have no language and go in the first stage; an empty table gives no rows.
+Rows with a null id stay, each for itself, and are packed under it; repeated rows are near copies with one id, so
+they stay together. Texts of any length go through whole. Ties are settled by id. The first four stages pass all
+columns through; the last returns the pieces of the packed sequences.
+"""
 
 from __future__ import annotations
 
@@ -15,9 +21,9 @@ def recognise_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Boilerplate lines of a source are taken out of its documents; every document stays."""
+    """Boilerplate lines of a source are taken out of its documents; every document stays, one of such lines alone as it is."""
     columns = docs.columns
-    return line_dedup.drop_boilerplate(docs).withColumn("n_chars", F.char_length("text").cast("long")).select(*columns)
+    return line_dedup.drop_boilerplate(docs, spare_whole=True).withColumn("n_chars", F.char_length("text").cast("long")).select(*columns)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
