@@ -18,9 +18,10 @@ LETTERS = " \n\t\r  \x0b\x1c\x85\xa0 　'sdtrevmlSTABCzé1²ªßİıÀ́ΣςI
 
 
 def exact(path, text):
-    t = exact.held.setdefault(path, Tokenizer.from_file(path))
-    t.encode_special_tokens = True
-    return t.encode(text, add_special_tokens=False).ids
+    if path not in exact.held:
+        exact.held[path] = Tokenizer.from_file(path)
+        exact.held[path].encode_special_tokens = True
+    return exact.held[path].encode(text, add_special_tokens=False).ids
 
 
 exact.held = {}
