@@ -21,7 +21,8 @@ def int_div(a: Column, b: Column) -> Column:
 
 
 def int_pow(a: Column, b: Column) -> Column:
-    return F.pow(a, b).cast(LONG)
+    """Whole power; null beyond 64 bits."""
+    return F.pow(a, b).try_cast(LONG)
 
 
 def smaller(a: Column, b: Column) -> Column:
@@ -74,18 +75,18 @@ def set_at(a: Column, i: Column, v: Column) -> Column:
 
 
 def array_sum(a: Column) -> Column:
-    return F.aggregate(F.filter(F.transform(a, lambda x: x.cast(DOUBLE)), lambda x: x.isNotNull()), F.lit(0.0), lambda s, x: s + x)
+    return F.aggregate(F.filter(F.transform(a, lambda x: x.try_cast(DOUBLE)), lambda x: x.isNotNull()), F.lit(0.0), lambda s, x: s + x)
 
 
 def array_avg(a: Column) -> Column:
-    values = F.filter(F.transform(a, lambda x: x.cast(DOUBLE)), lambda x: x.isNotNull())
+    values = F.filter(F.transform(a, lambda x: x.try_cast(DOUBLE)), lambda x: x.isNotNull())
     return F.when(F.size(values) > 0, array_sum(a) / F.size(values)).otherwise(F.lit(0.0))
 
 
 def array_variance(a: Column) -> Column:
     """Population variance."""
     mean = array_avg(a)
-    return F.when(F.size(a) > 0, F.aggregate(F.transform(a, lambda x: (x.cast(DOUBLE) - mean) ** 2), F.lit(0.0), lambda s, x: s + x) / F.size(a))
+    return F.when(F.size(a) > 0, F.aggregate(F.transform(a, lambda x: (x.try_cast(DOUBLE) - mean) ** 2), F.lit(0.0), lambda s, x: s + x) / F.size(a))
 
 
 def sliding_pairs(a: Column) -> Column:
@@ -132,6 +133,6 @@ TABLE: dict[str, tuple[int, int, Callable[..., Column]]] = {
     "trim": (1, 1, trim), "lower": (1, 1, F.lower), "lowercase": (1, 1, F.lower), "to_lower": (1, 1, F.lower), "upper": (1, 1, F.upper), "uppercase": (1, 1, F.upper), "to_upper": (1, 1, F.upper),
     "replace": (3, 3, replace), "starts_with": (2, 2, F.startswith), "ends_with": (2, 2, F.endswith), "substring": (2, 3, substring), "contains": (2, 2, F.contains),
     "array_contains": (2, 2, F.array_contains), "is_null": (1, 1, F.isnull), "concat": (1, 99, F.concat), "coalesce": (1, 99, F.coalesce), "if_null": (2, 2, F.nvl),
-    "unique": (1, 1, F.array_distinct), "flatten": (1, 1, F.flatten), "zip": (2, 2, F.arrays_zip), "split": (2, 2, split), "join": (2, 2, lambda a, s: F.array_join(F.transform(a, lambda x: x.cast("string")), s)),
-    "now": (0, 0, F.current_timestamp), "timestamp": (1, 1, F.unix_micros), "hour": (1, 1, F.hour), "day": (1, 1, F.dayofmonth), "format": (2, 2, F.date_format),
+    "unique": (1, 1, F.array_distinct), "flatten": (1, 1, F.flatten), "zip": (2, 2, F.arrays_zip), "split": (2, 2, split), "join": (2, 2, lambda a, s: F.call_function("array_join", F.transform(a, lambda x: x.cast("string")), lit(s))),
+    "now": (0, 0, F.current_timestamp), "timestamp": (1, 1, F.unix_micros), "hour": (1, 1, F.hour), "day": (1, 1, F.dayofmonth), "format": (2, 2, lambda t, f: F.call_function("date_format", t, lit(f))),
 }

@@ -13,7 +13,7 @@ EMA_PERIOD = 12
 
 
 def number(x: Column) -> Column:
-    d = x.cast("double")
+    d = x.try_cast("double")
     return F.when(~F.isnan(d), d)
 
 
@@ -44,7 +44,7 @@ def max_(x: Column) -> Column:
 
 def stddev(x: Column) -> Column:
     """Sample deviation, null below two values; NaN is not skipped."""
-    return F.stddev_samp(x.cast("double"))
+    return F.stddev_samp(x.try_cast("double"))
 
 
 def first(x: Column, order: Sequence[str] = ORDER) -> Column:

@@ -58,3 +58,38 @@ def many_trends(events: DataFrame, patterns: dict[str, tuple[Column, Column]], *
         return F.aggregate("_rows", first, grown)["ends"]
 
     return events.groupBy(*by).agg(rows.alias("_rows")).select(*by, *[counted(n).alias(f"n_{n}") for n in patterns])
+
+
+def chain_trends(events: DataFrame, steps: list[tuple[str, Column, bool]], *, by: list[str], count: list[str] | None = None) -> DataFrame:
+    """n_trends, and n_<alias> for the steps of `count`: trends over a chain of steps (alias, condition, repeated), every event in one step at most (the first that fits).
+
+    An event of a step lengthens every trend of the step before, and of its own step where that repeats; of a
+    first step it starts one as well. Each step keeps a running sum of the trends that end in it, and one of the
+    events each counted step has in them. Groups are a key's window; counts are exact up to 38 digits.
+    """
+    aliases, count = [a for a, *_ in steps], list(dict.fromkeys(count or []))
+    kind = F.lit(None).cast("int")
+    for k, (_, cond, _) in reversed(list(enumerate(steps))):
+        kind = F.when(cond, k).otherwise(kind)
+    rows = F.array_sort(F.collect_list(F.when(kind.isNotNull(), F.struct(*ORDER, kind.alias("kind")))))
+    zero = F.lit(0).cast(KIND)
+    names = [n for k in range(len(steps)) for n in (f"t{k}", *[f"e{k}_{c}" for c in range(len(count))])]
+
+    def grown(s: Column, e: Column) -> Column:
+        made = []
+        for k, (alias, _, repeated) in enumerate(steps):
+            own = e["kind"] == k
+            before = lambda n, k=k, repeated=repeated: (s[n.format(k - 1)] if k else zero) + (s[n.format(k)] if repeated else zero)
+            more = (before("t{}") + (F.lit(1).cast(KIND) if k == 0 else zero)).cast(KIND)
+            made.append(F.when(own, (s[f"t{k}"] + more).cast(KIND)).otherwise(s[f"t{k}"]).alias(f"t{k}"))
+            for c, counted in enumerate(count):
+                n = f"e{k}_{c}"
+                gained = before(f"e{{}}_{c}") + (more if counted == alias else zero)
+                made.append(F.when(own, (s[n] + gained).cast(KIND)).otherwise(s[n]).alias(n))
+        return F.struct(*made)
+
+    first = F.struct(*[zero.alias(n) for n in names])
+    out = events.groupBy(*by).agg(rows.alias("_rows")).withColumn("_t", F.aggregate("_rows", first, grown))
+    last = len(steps) - 1
+    assert set(count) <= set(aliases)
+    return out.select(*by, F.col(f"_t.t{last}").alias("n_trends"), *[F.col(f"_t.e{last}_{c}").alias(f"n_{a}") for c, a in enumerate(count)])

@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 
 from ..functions import scalar as S
 from ..operators import aggregates as A
-from ..operators import basic, forecast, joins, patterns, trends, windows
+from ..operators import basic, forecast, joins, patterns, scoring, trends, windows
 from ..operators.basic import ORDER
 from ..operators.patterns import Step
 from ..sources.sinks import multi_sink, sink_for
@@ -257,8 +257,8 @@ class Program:
     Frames hold `ts` and `event_id`, the order of events.
     """
 
-    def __init__(self, text: str, spark: SparkSession, *, events: DataFrame | None = None, tables: Mapping[str, DataFrame] | None = None, flush: bool = False):
-        self.spark, self.events, self.tables, self.flush = spark, events, dict(tables or {}), flush
+    def __init__(self, text: str, spark: SparkSession, *, events: DataFrame | None = None, tables: Mapping[str, DataFrame] | None = None, models: Mapping[str, scoring.Loader] | None = None, flush: bool = False):
+        self.spark, self.events, self.tables, self.models, self.flush = spark, events, dict(tables or {}), dict(models or {}), flush
         self.streams: dict[str, Node] = {}
         self.functions: dict[str, Node] = {}
         self.constants: dict[str, Node] = {}
@@ -318,6 +318,15 @@ class Program:
             return self.events.where(F.col("event_type") == name)
         raise ProgramError(f"unknown event type or stream {name!r}")
 
+    def _ticks(self, every: int) -> DataFrame:
+        """Ticks over the time of the events: the first is one interval after the first event."""
+        if self.events is None:
+            raise ProgramError("a timer needs the program's events")
+        span = self.events.agg(F.min("ts").alias("lo"), F.max("ts").alias("hi"))
+        step = F.expr(f"INTERVAL {every} MICROSECONDS")
+        ticks = F.when(F.col("lo") + step <= F.col("hi"), F.sequence(F.col("lo") + step, F.col("hi"), step))
+        return span.select(F.posexplode(ticks).alias("event_id", "ts")).select(F.col("event_id").cast("long"), "ts", F.lit("Timer").alias("event_type"))
+
     def scope(self, df: DataFrame, **bound: Column) -> Scope:
         return Scope(df, self.constants, self.functions, bound)
 
@@ -340,6 +349,8 @@ class Program:
             st = State(basic.merge(*parts))
         elif src.kind == "join":
             st = State(self.scan(src.items[0].base), join=src.items, on=functools.reduce(lambda a, b: Node("binary", {"op": "and", "a": a, "b": b}), [b.cond for b in src.items if b.cond], None) if any(b.cond for b in src.items) else None)
+        elif src.kind == "timer":
+            st = State(self._ticks(src.every))
         elif src.kind == "sequence":
             st = State(self.scan(src.steps[0].type), steps=list(src.steps))
         else:
@@ -416,7 +427,7 @@ class Program:
                 st.df, st.window = kept.select(F.explode("_events").alias("_e")).select("_e.*"), None
             case "process":
                 call = o.args[0]
-                st.df = emitted(st.df, self.functions, call.f.name, [scope.column(a) for a in call.args])
+                st.df = emitted(st.df, self.functions, call.f.name, [scope.column(a) for a in call.args], self.constants)
             case "enrich":
                 ref = self.tables.get(o.target)
                 if ref is None:
@@ -428,6 +439,12 @@ class Program:
                 if o.target not in self.connectors:
                     raise ProgramError(f"unknown connector {o.target!r}")
                 st.sinks.append(o)
+            case "score":
+                named = o.items["model"]
+                model = self.models.get(named.name if named.kind == "name" else named.value)
+                if model is None:
+                    raise ProgramError(f"no model given for .score(...) in stream {s.name}")
+                st.df = scoring.score(st.df, model, inputs=[x.name for x in o.items["inputs"].items], outputs=[x.name for x in o.items["outputs"].items])
             case "print" | "log" | "watermark" | "allowed_lateness" | "context" | "within":
                 pass  # effects of streaming queries; a batch plan has its rows all the same
             case _:
@@ -541,14 +558,10 @@ class Program:
         self._aliases = {s.alias for s in st.steps}
         key, df = self._key(st), self._united([s.type for s in st.steps] + [n.type for n in st.nots])
         conds = [self._local(s, key, df) for s in st.steps]
-        if len(st.nots) > 1:
-            raise ProgramError("one .not(...) is supported")
-        unless = None
-        if st.nots:
-            n = st.nots[0]
-            unless, other = self._local(Node("step", {"type": n.type, "where": n.where, "alias": "_not"}), key, df)
-            if other:
-                raise ProgramError("a .not(...) may compare with earlier aliases on the key only")
+        barred = [self._local(Node("step", {"type": n.type, "where": n.where, "alias": "_not"}), key, df) for n in st.nots]
+        if any(other for _, other in barred):
+            raise ProgramError("a .not(...) may compare with earlier aliases on the key only")
+        unless = patterns.either(*[c for c, _ in barred]) if barred else None
         if any(other for _, other in conds):
             return self._compared(st, key, df, conds)
         steps = [Step(s.alias, c, kleene=s.kleene in ("+", "*"), optional=s.kleene in ("?", "*")) for s, (c, _) in zip(st.steps, conds, strict=True)]
@@ -597,8 +610,8 @@ class Program:
         return self._chain(State(self.scan(steps[0].type), key=p.key, steps=steps, within=p.within, nots=nots))
 
     def _trend(self, s: Node, st: State, ops: list[Node]) -> DataFrame:
-        if len(st.steps) != 2:
-            raise ProgramError("trends are counted over `A as a -> all B as b`")
+        if len(st.steps) != 2 or not st.steps[1].kleene or st.steps[0].kleene:
+            return self._long_trend(s, st, ops)
         self._aliases = {x.alias for x in st.steps}
         key, df = self._key(st), self._united([x.type for x in st.steps])
         a, b = (self._local(x, key, df)[0] for x in st.steps)
@@ -609,3 +622,16 @@ class Program:
         out = trends.trends(tagged, a(F.col), b(F.col), F.col(value) if value else F.lit(None), by=[key, "w_start"])
         made = {"count_trends": "n_trends", "count_events": "n_events", "sum_trends": "sum_values", "avg_trends": "avg_value", "min_trends": "min_value", "max_trends": "max_value"}
         return out.select(F.lit(s.name).alias("stream"), key, "w_start", *[F.col(made[x.f.name]).alias(n) for n, x in items.items()])
+
+    def _long_trend(self, s: Node, st: State, ops: list[Node]) -> DataFrame:
+        """Trends over any chain of single and repeated steps: their number, and the events of a step in all of them."""
+        self._aliases = {x.alias for x in st.steps}
+        key, df = self._key(st), self._united([x.type for x in st.steps])
+        items = next(o for o in ops if o.kind == "trend_aggregate").items
+        tagged = windows.tumbling_aligned(df, f"{st.within or 60_000_000} microseconds")
+        counted = [x.args[0].name for x in items.values() if x.f.name == "count_events"]
+        if unknown := sorted({x.f.name for x in items.values()} - {"count_trends", "count_events"}):
+            raise ProgramError(f"{', '.join(unknown)} needs a trend of two steps")
+        steps = [(x.alias, self._local(x, key, df)[0](F.col), x.kleene in ("+", "*")) for x in st.steps]
+        out = trends.chain_trends(tagged, steps, by=[key, "w_start"], count=counted)
+        return out.select(F.lit(s.name).alias("stream"), key, "w_start", *[F.col("n_trends" if x.f.name == "count_trends" else f"n_{x.args[0].name}").alias(n) for n, x in items.items()])

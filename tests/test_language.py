@@ -69,3 +69,54 @@ def test_streams_go_to_their_connectors(spark, row, tmp_path):
     p = Program(f'connector Out = file(path: "{tmp_path}/out")\nstream S = A.select(i, s).to(Out)\n', spark, tables={"A": row})
     p.deliver("S")
     assert spark.read.text(f"{tmp_path}/out").first().value == '{"i":7,"s":"héllo"}'
+
+
+def machine(text, *args, name="f"):
+    from sluiceway.plans.interpreter import Machine
+    from sluiceway.plans.syntax import parse
+
+    return Machine({n.name: n for n in parse(text) if n.kind == "fn"}).call(name, list(args))
+
+
+def test_imperative_arithmetic_is_exact():
+    assert machine("fn f(a: int, b: int) -> int: a / b", 9007199254740993, 1) == 9007199254740993
+    assert machine("fn f(a: int, b: int) -> int: a / b", -7, 2) == -3 and machine("fn f(a: int, b: int) -> int: a % b", -7, 2) == -1
+    assert machine("fn f(a: int, b: int) -> int: a % b", 9007199254740993, 2) == 1 and machine("fn f(a: int) -> int: a / 0", 5) is None
+
+
+def test_imperative_functions_give_no_value_on_wrong_input():
+    for call in ("to_int(x)", "upper(3)", "get([1], 5)", "first([])", "sqrt(0 - 1)", "log(0)", "x - 1", "x.name", "[1, 2][7]"):
+        assert machine(f"fn f(x: str): {call}", "text") is None, call
+    assert machine('fn f(x: str): join(unique(sort(split(x, ","))), "-")', "b,a,b") == "a-b"
+    assert machine("fn f(x: float): round(x)", 2.5) == 3 and machine("fn f(x: float): round(x)", -2.5) == -3
+    assert machine("fn f(x: str): len(x)", "\u00e9") == 2 and machine("fn f(x: str): type_of([x])", "a") == "array"
+
+
+def test_imperative_names_are_checked_at_planning(spark):
+    df = spark.createDataFrame([(1, 0, "a")], "event_id long, ts long, event_type string")
+    for body, message in (("nothing(x)", "unknown function"), ("x + y", "unknown name")):
+        with pytest.raises(ProgramError, match=message):
+            Program(f"fn f(x: int): {body}\nstream S = a.process(f(event_id))", spark, events=df).stream("S")
+
+
+def test_longer_trends_equal_brute_force(spark):
+    import itertools
+    import random
+
+    from sluiceway.operators import trends
+
+    rnd = random.Random(4)
+    rows = [(k, k, rnd.choice("abcd")) for k in range(11)]
+    df = spark.createDataFrame(rows, "event_id long, ts long, kind string").withColumn("g", F.lit(1))
+    steps = [("a", "a", False), ("b", "b", True), ("c", "c", False), ("d", "d", True)]
+    for chain in (steps[:3], steps[1:], steps, [("a", "a", True), ("b", "b", False)], steps[:1]):
+        want, events = 0, 0
+        for n in range(1, len(rows) + 1):
+            for picked in itertools.combinations(rows, n):
+                runs = [(k, len(list(g))) for k, g in itertools.groupby(r[2] for r in picked)]
+                if [k for k, _ in runs] == [s[1] for s in chain] and all(m == 1 or s[2] for (_, m), s in zip(runs, chain, strict=True)):
+                    want, events = want + 1, events + sum(m for (k, m) in runs if k == "b")
+        got = trends.chain_trends(df, [(a, F.col("kind") == k, r) for a, k, r in chain], by=["g"], count=["b"] if any(s[0] == "b" for s in chain) else []).first()
+        assert got.n_trends == want, chain
+        if any(s[0] == "b" for s in chain):
+            assert got.n_b == events
