@@ -69,14 +69,20 @@ def timer(spark, start: str, end: str, every: str, *, name: str = "Timer") -> Da
     return out.withColumn("timestamp", (F.unix_micros(F.col("ts").cast("timestamp")) / 1000).cast("long"))
 
 
-def enrich(df: DataFrame, reference: DataFrame, *, key: Column, ref_key: str, fields: Sequence[str], fallback: Mapping[str, object] | None = None, most: int = 500_000) -> DataFrame:
+def enrich(df: DataFrame, reference: DataFrame, *, key: Column, ref_key: str, fields: Sequence[str], fallback: Mapping[str, object] | None = None, most_bytes: int = 32 << 20) -> DataFrame:
     """Looks fields up by key. Without a fallback unmatched events are dropped; with one they get it and status 'error'.
 
-    The reference is broadcast if it has at most `most` rows, else joined by shuffle.
+    The reference is broadcast if its columns are estimated at no more than `most_bytes` (from the sizes of its files,
+    no row is read for that), else joined by shuffle. Looked-up fields take the place of equally named ones of the
+    events; an event whose key is null has no match.
     """
-    ref = reference.select(F.col(ref_key).alias("_k"), *fields, F.lit(True).alias("_hit")).dropDuplicates(["_k"])
-    small = ref.limit(most + 1).count() <= most
-    out = df.join(F.broadcast(ref) if small else ref, key == F.col("_k"), "left" if fallback is not None else "inner").drop("_k")
+    ref = reference.select(F.col(f"`{ref_key}`").alias("_enrich_key"), F.struct(*[F.col(f"`{f}`") for f in fields]).alias("_enrich_row")).dropDuplicates(["_enrich_key"])
+    small = int(str(ref._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) <= most_bytes
+    rows = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("_row"), key.alias("_key"))
+    out = rows.join(F.broadcast(ref) if small else ref, F.col("_key") == F.col("_enrich_key"), "left" if fallback is not None else "inner")
+    hit = F.col("_enrich_row").isNotNull()
+    found = {f: F.col("_enrich_row").getField(f) for f in fields}
     if fallback is not None:
-        out = out.withColumns({f: F.when(F.col("_hit"), F.col(f)).otherwise(F.lit(fallback.get(f))) for f in fields})
-    return out.withColumn("enrich_status", F.when(F.col("_hit"), "ok").otherwise("error")).drop("_hit")
+        found = {f: F.when(hit, v).otherwise(F.lit(fallback.get(f))) for f, v in found.items()}
+    kept = [c for c in df.columns if c not in found and c != "enrich_status"]
+    return out.select(*[F.col("_row").getField(c).alias(c) for c in kept], *[v.alias(f) for f, v in found.items()], F.when(hit, "ok").otherwise("error").alias("enrich_status"))

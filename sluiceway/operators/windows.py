@@ -51,7 +51,7 @@ def count_window(df: DataFrame, n: int, *, keys: Sequence[str] = (), flush: bool
     """Tags rows with w_id, the number of their window of n rows."""
     if not keys:
         out = numbered(df, "_rn", order=order).withColumn("w_id", F.floor((F.col("_rn") - 1) / n).cast("long")).drop("_rn")
-        return out if flush else out.where(F.col("w_id") < out.count() // n)
+        return out if flush else out.where(F.col("w_id") < df.count() // n)
     rn = F.row_number().over(_over(keys, order))
     out = df.withColumn("w_id", F.floor((rn - 1) / n).cast("long"))
     if not flush:

@@ -21,6 +21,8 @@ from .syntax import Node, ProgramError, parse
 
 WHOLE = (T.LongType, T.IntegerType, T.ShortType, T.ByteType)
 COMPARE = {"==": "__eq__", "!=": "__ne__", "<": "__lt__", "<=": "__le__", ">": "__gt__", ">=": "__ge__"}
+#: The one key of a sequence whose steps share no field, and the time limits in a slice of its events.
+UNKEYED, SLICE = "_all", 16
 REJECTED = {"map", "tap", "collect", "on_error", "fork", "any", "all", "concurrent"}
 
 
@@ -305,6 +307,9 @@ class Program:
         df = self.stream(name)
         made = []
         for o in self.sinks.get(name, []):
+            if o.kind == "shown":
+                sink_for("console", {})(o.df)
+                continue
             c = self.connectors[o.target]
             made.append(sink_for(c.type, {k: str(v.value) for k, v in {**c.options, **o.options}.items()}))
         multi_sink(made)(df)
@@ -445,8 +450,10 @@ class Program:
                 if model is None:
                     raise ProgramError(f"no model given for .score(...) in stream {s.name}")
                 st.df = scoring.score(st.df, model, inputs=[x.name for x in o.items["inputs"].items], outputs=[x.name for x in o.items["outputs"].items])
-            case "print" | "log" | "watermark" | "allowed_lateness" | "context" | "within":
-                pass  # effects of streaming queries; a batch plan has its rows all the same
+            case "print" | "log":
+                st.sinks.append(Node("shown", {"df": st.df}))  # by deliver()
+            case "watermark" | "allowed_lateness" | "context" | "within":
+                pass  # of streaming queries: a batch plan has all its rows at once, and one session
             case _:
                 raise ProgramError(f".{o.kind}() is not known")
 
@@ -505,7 +512,7 @@ class Program:
         common = set.intersection(*found) if found else set()
         if common:
             return sorted(common)[0]
-        raise ProgramError("a sequence needs a common key: compare a field with an earlier alias, or use .partition_by(...)")
+        return UNKEYED
 
     def _equalities(self, x: Node | None, own: str) -> list[tuple[str, Node | None]]:
         """(field, rest) for conditions `field == alias.field`."""
@@ -557,6 +564,8 @@ class Program:
     def _chain(self, st: State) -> DataFrame:
         self._aliases = {s.alias for s in st.steps}
         key, df = self._key(st), self._united([s.type for s in st.steps] + [n.type for n in st.nots])
+        if key == UNKEYED:  # one key for all events, cut in time where there is a limit
+            df = df.withColumn(UNKEYED, F.lit(0))
         conds = [self._local(s, key, df) for s in st.steps]
         barred = [self._local(Node("step", {"type": n.type, "where": n.where, "alias": "_not"}), key, df) for n in st.nots]
         if any(other for _, other in barred):
@@ -569,7 +578,7 @@ class Program:
             a, b = df.where(steps[0].where(F.col)), df.where(steps[1].where(F.col))
             out = patterns.kleene_tail(a, b, key=key, within_micros=st.within or 10**15)
             return out.select(F.col("l").alias(steps[0].alias), F.col("r").alias(steps[1].alias), F.col("r.ts").alias("ts"), F.col("r.event_id").alias("event_id"))
-        out = patterns.sequence(df, steps, key=key, within_micros=st.within, unless=unless)
+        out = patterns.sequence(df, steps, key=key, within_micros=st.within, unless=unless, split=SLICE if key == UNKEYED and st.within else None)
         end = steps[-1].alias
         return out.withColumns({"ts": F.col(f"{end}.ts"), "event_id": F.col(f"{end}.event_id")})
 
@@ -614,6 +623,8 @@ class Program:
             return self._long_trend(s, st, ops)
         self._aliases = {x.alias for x in st.steps}
         key, df = self._key(st), self._united([x.type for x in st.steps])
+        if key == UNKEYED:
+            df = df.withColumn(UNKEYED, F.lit(0))
         a, b = (self._local(x, key, df)[0] for x in st.steps)
         items = next(o for o in ops if o.kind == "trend_aggregate").items
         value = next((x.args[0].name for x in items.values() if x.args and x.args[0].kind == "member"), None)
@@ -627,6 +638,8 @@ class Program:
         """Trends over any chain of single and repeated steps: their number, and the events of a step in all of them."""
         self._aliases = {x.alias for x in st.steps}
         key, df = self._key(st), self._united([x.type for x in st.steps])
+        if key == UNKEYED:
+            df = df.withColumn(UNKEYED, F.lit(0))
         items = next(o for o in ops if o.kind == "trend_aggregate").items
         tagged = windows.tumbling_aligned(df, f"{st.within or 60_000_000} microseconds")
         counted = [x.args[0].name for x in items.values() if x.f.name == "count_events"]

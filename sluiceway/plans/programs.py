@@ -7,6 +7,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators import basic
+from ..sources.events import read_events
 from .catalog import ORACLES, _next, events, query, table
 from .lower import Program
 
@@ -367,3 +369,32 @@ def sink_and_event_file(spark, d):  # noqa: ANN001, ANN201
         stream Errors = error.select(event_id, event_type, user_id, value).to(Out)
     """, spark, events=events(spark, d)).deliver("Errors")
     return spark.read.schema("event_id long, event_type string, user_id long, value double").json(path)
+
+
+_UNKEYED = """SELECT a.event_id AS a_id, n.event_id AS b_id FROM (SELECT * FROM events WHERE event_type = 'signup' AND value > 20) a JOIN LATERAL (
+ SELECT b.event_id, b.ts FROM events b WHERE b.event_type = 'purchase' AND b.value > 60 AND (b.ts, b.event_id) > (a.ts, a.event_id) ORDER BY b.ts, b.event_id LIMIT 1) n ON true WHERE n.ts <= a.ts + INTERVAL 2 HOUR"""
+
+
+@query(_UNKEYED)
+def dsl_unkeyed_sequence(spark, d):  # noqa: ANN001, ANN201
+    return run(spark, d, """
+        stream Large = signup.where(value > 20)
+        stream Out = Large as a -> purchase where value > 60 as b .within(2h).emit(a_id: a.event_id, b_id: b.event_id)
+    """, "Out")
+
+
+@query("SELECT event_id, user_id, value, event_type FROM events WHERE event_type IN ('view', 'error')")
+def event_file(spark, d):  # noqa: ANN001, ANN201
+    """Events written as an event file, a line each, and read back."""
+    import tempfile
+
+    path = f"{spark.conf.get('spark.checkpoint.dir', None) or 'file://' + tempfile.mkdtemp(prefix='sluiceway-')}/evt-{uuid.uuid4().hex}"
+    held = events(spark, d).where("event_type IN ('view', 'error')")
+    held.select(F.format_string("@0s %s { id: %d, user_id: %d, value: %s }", "event_type", "event_id", "user_id", F.col("value").cast("string"))).write.text(path)
+    return read_events(spark, path, {"id": "long", "user_id": "long", "value": "double"}).select(F.col("id").alias("event_id"), "user_id", "value", "event_type")
+
+
+@query("SELECT c_custkey, c_name, n_name FROM customer JOIN nation ON c_nationkey = n_nationkey")
+def enrich_by_shuffle(spark, d):  # noqa: ANN001, ANN201
+    out = basic.enrich(table(spark, d, "customer"), table(spark, d, "nation"), key=F.col("c_nationkey"), ref_key="n_nationkey", fields=["n_name"], most_bytes=0)
+    return out.select("c_custkey", "c_name", "n_name")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import time
 import urllib.request
 from collections.abc import Callable, Iterator, Mapping, Sequence
 
@@ -27,8 +28,8 @@ def format_sink(name: str, options: Mapping[str, str], *, mode: str = "append")
     return lambda df: (as_json(df) if name == "kafka" else df).write.format(name).options(**options).mode(mode).save()
 
 
-def http_sink(url: str, *, tries: int = 3, timeout: float = 10.0) -> Sink:
-    """Posts each event from the executors, with retries; a failure ends the write (see with_dead_letters)."""
+def http_sink(url: str, *, tries: int = 3, timeout: float = 10.0, delay: float = 0.1) -> Sink:
+    """Posts each event from the executors, with retries after `delay` seconds, doubled each time; a failure ends the write (see with_dead_letters)."""
 
     def post(rows: Iterator[Row]) -> None:
         for row in rows:
@@ -40,6 +41,7 @@ def http_sink(url: str, *, tries: int = 3, timeout: float = 10.0) -> Sink:
                 except OSError:
                     if left == 1:
                         raise
+                    time.sleep(delay * 2 ** (tries - left))
 
     return lambda df: as_json(df).foreachPartition(post)
 
