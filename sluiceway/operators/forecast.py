@@ -5,10 +5,11 @@ from __future__ import annotations
 import functools
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .basic import ORDER
+from .windows import micros
 
 ALPHA, DEPTH, STEPS, CONVERGED = 0.01, 3, 50, 1e-10
 
@@ -71,24 +72,57 @@ def learn(events: DataFrame, *, key: str, depth: int = DEPTH, column: str = "eve
     return SuffixTree({(tuple(r.context), r.symbol): r.n for r in rows})
 
 
-def forecast(events: DataFrame, steps: Sequence[str], *, key: str, confidence: float = 0.5, depth: int = DEPTH, column: str = "event_type", order: Sequence[str] = ORDER) -> DataFrame:
-    """For each event of the first step: the chance that the others follow, if it reaches the confidence.
+def _completed(column: str, steps: Sequence[str], following: Column) -> Column:
+    """1 if the steps occur in this order among the following types, else 0."""
+    wanted = F.array(*[F.lit(s) for s in steps])
+    reached = F.aggregate(following, F.lit(0), lambda k, x: F.when(x == F.get(wanted, k), k + 1).otherwise(k))
+    return (reached == len(steps)).cast("int")
 
-    Chances are computed once for each context, then joined to the events.
-    """
-    tree = learn(events, key=key, depth=depth, column=column)
-    spark = events.sparkSession
-    contexts = sorted({c for c in tree.counts if c and c[-1] == steps[0]} | {(steps[0],)})
-    chances = spark.createDataFrame([(list(c), float(tree.completion(steps[1:], c)), len(c)) for c in contexts], "context array<string>, forecast_probability double, forecast_context_depth int")
-    spec = Window.partitionBy(key).orderBy(*order)
-    lags = [F.lag(column, d).over(spec) for d in range(depth - 1, 0, -1)]
-    started = events.withColumn("context", F.filter(F.array(*lags, F.col(column)), lambda x: x.isNotNull())).where(F.col(column) == steps[0])
-    found = started.join(F.broadcast(chances), "context", "left").where(F.col("forecast_probability") >= confidence)
-    return found.select(*events.columns, "forecast_probability", "forecast_context_depth", F.lit(steps[0]).alias("forecast_state"))
 
+def forecast(
+    events: DataFrame, steps: Sequence[str], *, key: str, confidence: float = 0.5, depth: int = DEPTH, horizon: int = STEPS, learned: float = 0.5, warmup: int = 0, coverage: float | None = 0.9,
+    column: str = "event_type", order: Sequence[str] = ORDER,
+) -> DataFrame:
+    """For each event of the first step: the chance that the others follow within `horizon` events, if it reaches the confidence.
 
-#: Named settings: warm-up events, depth, Hawkes boost, conformal interval.
-PRESETS = {"fast": (50, 3, False, False), "balanced": (100, 3, True, True), "accurate": (200, 5, True, True)}
+    Nothing is learned from what comes later: chances, gaps and errors are those of the first part of the time that
+    the events span (`learned` of it), and only events after that part get a forecast; none do if it holds fewer
+    than `warmup` events. Chances are computed once for each context, then joined to the events.
+
+    forecast_time: expected seconds to completion, from the mean gap between a key's events. forecast_lower and
+    forecast_upper: the chance less and plus the error that `coverage` of the starts learned from stay within (null
+    where coverage is None).
+    """
+    at = micros("ts")
+    new = "forecast_probability double, forecast_context_depth int, forecast_state string, forecast_time double, forecast_lower double, forecast_upper double"
+    span = events.agg(F.min(at).alias("lo"), F.max(at).alias("hi")).first()
+    until = 0 if span.lo is None else int(span.lo + (span.hi - span.lo) * learned)
+    past = events.where(at <= until)
+    if span.lo is None or past.limit(max(1, warmup)).count() < max(1, warmup):
+        return events.limit(0).select("*", *[F.lit(None).cast(f.split()[1]).alias(f.split()[0]) for f in new.split(", ")])
+    tree = learn(past, key=key, depth=depth, column=column)
+    spark, spec = events.sparkSession, Window.partitionBy(key).orderBy(*order)
+    gap = past.select((at - F.lag(at).over(spec)).alias("gap")).agg(F.avg("gap")).first()[0] or 0.0
+    contexts = sorted({c for c in tree.counts if c and c[-1] == steps[0]} | {(steps[0],)})
+    rows = [(list(c), float(tree.completion(steps[1:], c, horizon)), len(c), float(waiting_time(tree, steps[1:], c, gap / 1e6))) for c in contexts]
+    chances = spark.createDataFrame(rows, "context array<string>, forecast_probability double, forecast_context_depth int, forecast_time double")
+
+    def started(df: DataFrame) -> DataFrame:
+        lags = [F.lag(column, d).over(spec) for d in range(depth - 1, 0, -1)]
+        marked = df.withColumns({"context": F.filter(F.array(*lags, F.col(column)), lambda x: x.isNotNull()), "_next": F.collect_list(column).over(spec.rowsBetween(1, horizon))})
+        return marked.where(F.col(column) == steps[0]).join(F.broadcast(chances), "context", "left")
+
+    half = F.lit(None).cast("double")
+    if coverage is not None:
+        errors = started(past).select(F.abs(_completed(column, steps[1:], F.col("_next")) - F.col("forecast_probability")).alias("e"))
+        half = F.lit(errors.agg(F.percentile_approx("e", coverage, 10_000)).first()[0]).cast("double")
+    found = started(events).where((at > until) & (F.col("forecast_probability") >= confidence))
+    chance = F.col("forecast_probability")
+    return found.select(
+        *events.columns, "forecast_probability", "forecast_context_depth", F.lit(steps[0]).alias("forecast_state"), "forecast_time",
+        F.greatest(F.lit(0.0), chance - half).alias("forecast_lower") if coverage is not None else half.alias("forecast_lower"),
+        F.least(F.lit(1.0), chance + half).alias("forecast_upper") if coverage is not None else half.alias("forecast_upper"),
+    )
 
 
 def pruned(tree: SuffixTree, least: float = 0.05) -> SuffixTree:

@@ -429,6 +429,30 @@ def suffix_counts(spark, d):  # noqa: ANN001, ANN201
     return forecast.suffix_counts(events(spark, d), key="user_id", depth=1).select(F.array_join("context", ",").alias("context"), "symbol", "n")
 
 
-@query()
+def forecast_sql(types: str) -> str:
+    """Chance that a purchase follows a view within two events, contexts of one event, learned from the first half of the time."""
+    return f"""WITH e AS (SELECT * FROM events WHERE {types}), cut AS (SELECT epoch_us(min(ts)) + (epoch_us(max(ts)) - epoch_us(min(ts))) // 2 AS u FROM e),
+past AS (SELECT *, lag(event_type) OVER w AS before, epoch_us(ts) - lag(epoch_us(ts)) OVER w AS gap, lead(event_type) OVER w AS n1, lead(event_type, 2) OVER w AS n2
+ FROM e, cut WHERE epoch_us(ts) <= u WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+k AS (SELECT count(DISTINCT event_type) AS k, avg(gap) / 1e6 AS gap FROM past),
+c AS (SELECT a.event_type AS before, b.event_type AS symbol, (SELECT count(*) FROM past WHERE past.before = a.event_type AND past.event_type = b.event_type) AS n FROM (SELECT DISTINCT event_type FROM past) a, (SELECT DISTINCT event_type FROM past) b),
+q AS (SELECT before, symbol, (n + 0.01) / (sum(n) OVER (PARTITION BY before) + 0.01 * k) AS q FROM c, k),
+p AS (SELECT (SELECT q FROM q WHERE before = 'view' AND symbol = 'purchase') + (SELECT sum(a.q * b.q) FROM q a JOIN q b ON a.symbol = b.before WHERE a.before = 'view' AND a.symbol <> 'purchase' AND b.symbol = 'purchase') AS p),
+t AS (SELECT gap / (SELECT q FROM q WHERE before = 'view' AND symbol = 'purchase') AS t FROM k),
+h AS (SELECT quantile_disc(abs(CASE WHEN n1 = 'purchase' OR n2 = 'purchase' THEN 1 ELSE 0 END - p), 0.9) AS h FROM past, p WHERE event_type = 'view')
+SELECT event_id, round(p, 6) AS forecast_probability, CAST(1 AS INT) AS forecast_context_depth, 'view' AS forecast_state, round(t, 3) AS forecast_time, round(greatest(0, p - h), 6) AS forecast_lower, round(least(1, p + h), 6) AS forecast_upper
+FROM e, cut, p, t, h WHERE event_type = 'view' AND epoch_us(ts) > u AND p >= 0.1"""
+
+
+def rounded_forecast(df: DataFrame) -> DataFrame:
+    return df.select("event_id", *[F.round(n, 6).alias(n) if n != "forecast_time" else F.round(n, 3).alias(n) for n in ("forecast_probability", "forecast_time", "forecast_lower", "forecast_upper")], "forecast_context_depth", "forecast_state")
+
+
+@query(forecast_sql("true"))
 def forecast_rows(spark, d):  # noqa: ANN001, ANN201
+    return rounded_forecast(forecast.forecast(events(spark, d), ["view", "purchase"], key="user_id", confidence=0.1, depth=1, horizon=2))
+
+
+@query()
+def forecast_deep(spark, d):  # noqa: ANN001, ANN201
     return forecast.forecast(events(spark, d), ["view", "click", "purchase"], key="user_id", confidence=0.3).select("event_id", F.round("forecast_probability", 9).alias("forecast_probability"), "forecast_context_depth", "forecast_state")

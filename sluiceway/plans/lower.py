@@ -376,9 +376,16 @@ class Program:
                 return self._trend(s, st, ops)
             if any(o.kind == "forecast" for o in ops):
                 items = next(o for o in ops if o.kind == "forecast").items
-                if unknown := sorted(set(items) - {"confidence", "max_depth"}):
+                known = {"confidence", "max_depth", "horizon", "warmup", "conformal"}
+                if unknown := sorted(n for n, x in items.items() if n not in known or x.kind != "literal"):  # a horizon counts events
                     raise ProgramError(f".forecast({', '.join(unknown)}) is not supported in stream {s.name}")
-                st.df = forecast.forecast(self._united([x.type for x in st.steps]), [x.type for x in st.steps], key=self._key(st), confidence=items["confidence"].value if "confidence" in items else 0.5, depth=items["max_depth"].value if "max_depth" in items else forecast.DEPTH)
+                given = {n: items[n].value for n in items}
+                key = self._key(st)
+                df = self._united([x.type for x in st.steps])
+                st.df = forecast.forecast(
+                    df.withColumn(UNKEYED, F.lit(0)) if key == UNKEYED else df, [x.type for x in st.steps], key=key, confidence=given.get("confidence", 0.5), depth=given.get("max_depth", forecast.DEPTH),
+                    horizon=given.get("horizon", forecast.STEPS), warmup=given.get("warmup", 0), coverage=0.9 if given.get("conformal", True) else None,
+                )
                 ops = [o for o in ops if o.kind != "forecast"]
             else:
                 st.df, st.matched = self._chain(st), True

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..operators import basic
 from ..sources.events import read_events
-from .catalog import ORACLES, _next, events, query, table
+from .catalog import ORACLES, _next, events, forecast_sql, query, rounded_forecast, table
 from .lower import Program
 
 
@@ -180,14 +180,14 @@ def dsl_kleene_tail(spark, d):  # noqa: ANN001, ANN201
     """, "Seen")
 
 
-@query()
+@query(forecast_sql("event_type IN ('view', 'purchase')"))
 def dsl_forecast(spark, d):  # noqa: ANN001, ANN201
-    return run(spark, d, """
-        stream Soon = view as v -> click where user_id == v.user_id as c -> purchase where user_id == c.user_id as p
+    return rounded_forecast(run(spark, d, """
+        stream Soon = view as v -> purchase where user_id == v.user_id as p
             .within(1d)
-            .forecast(confidence: 0.3, max_depth: 2)
-            .where(forecast_probability > 0.3)
-    """, "Soon").select("event_id", F.round("forecast_probability", 9).alias("forecast_probability"))
+            .forecast(confidence: 0.1, max_depth: 1, horizon: 2, warmup: 100)
+            .where(forecast_probability > 0.1)
+    """, "Soon"))
 
 
 # ---- expressions

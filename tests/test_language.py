@@ -44,7 +44,7 @@ def test_bad_programs(spark, row, text, what):
         Program(text, spark, tables={"A": row.withColumn("x", F.lit(1))}).stream("S")
 
 
-@pytest.mark.parametrize("setting", ["horizon: 5m", "warmup: 100", "hawkes: true", "conformal: true", 'mode: "accurate"'])
+@pytest.mark.parametrize("setting", ["horizon: 5m", "hawkes: true", 'mode: "accurate"'])
 def test_forecast_settings_that_are_not_provided_are_rejected(spark, setting):
     events = spark.createDataFrame([("e1", "u", "a"), ("e2", "u", "b")], "event_id string, user_id string, event_type string").withColumn("ts", F.current_timestamp())
     text = "stream S = a as x -> b where user_id == x.user_id as y .forecast(confidence: 0.3{})"
@@ -120,3 +120,15 @@ def test_longer_trends_equal_brute_force(spark):
         assert got.n_trends == want, chain
         if any(s[0] == "b" for s in chain):
             assert got.n_b == events
+
+
+def test_forecasts_do_not_look_ahead(spark):
+    from sluiceway.operators import forecast
+
+    rows = [(k, 1, "ab"[k % 2], k) for k in range(60)] + [(k, 1, "ac"[k % 2], k) for k in range(60, 100)]
+    df = spark.createDataFrame(rows, "event_id long, user_id long, event_type string, s long").withColumn("ts", F.timestamp_seconds("s").cast("timestamp_ntz")).drop("s")
+    got = forecast.forecast(df, ["a", "b"], key="user_id", depth=1, horizon=1).collect()
+    assert [r.event_id for r in got] == list(range(50, 100, 2)) and min(r.forecast_probability for r in got) > 0.99  # "c" came later
+    assert all(r.forecast_lower <= r.forecast_probability <= r.forecast_upper and r.forecast_time == pytest.approx(1, abs=0.01) for r in got)
+    assert forecast.forecast(df, ["a", "b"], key="user_id", warmup=51).count() == 0 and forecast.forecast(df.limit(0), ["a", "b"], key="user_id").count() == 0
+    assert {r.forecast_lower for r in forecast.forecast(df, ["a", "b"], key="user_id", coverage=None).collect()} == {None}
