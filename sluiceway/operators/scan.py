@@ -7,6 +7,8 @@ from collections.abc import Callable, Iterator, Sequence
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import StructType
 
 from ..shipping import ship
 from .basic import ORDER
@@ -45,3 +47,42 @@ def scan(df: DataFrame, keys: Sequence[str], step: Step, column: str, kind: str,
             yield pa.RecordBatch.from_arrays([*batch.columns[:n], pa.concat_arrays(new)], names=[*batch.schema.names[:n], column])
 
     return dealt.mapInArrow(run, schema)
+
+
+def fold(df: DataFrame, by: Sequence[str], start: Callable[[], list], step: Callable[..., None], done: Callable[[list], Sequence[object]], schema: str, *, order: Sequence[str] = ORDER) -> DataFrame:
+    """A row for each group of `by`: its columns and what `done` makes of a state that `step(state, *other columns)` changed row by row, in order.
+
+    Rows are dealt out by group and sorted within partitions, so a group of any number of rows takes the memory of
+    its state. df holds the columns of `by`, those of `order`, then those for `step`.
+    """
+    ship(df.sparkSession)
+    width, skip = len(by), len(by) + len(order)
+    dealt = df.repartition(*by).sortWithinPartitions(*by, *order)
+    whole = StructType([*df.select(*by).schema.fields, *StructType.fromDDL(schema).fields])
+    names, types = whole.names, [to_arrow_type(f.dataType) for f in whole]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, state, out = None, None, []
+
+        def full() -> pa.RecordBatch:
+            columns = list(zip(*out, strict=True))
+            out.clear()
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=names)
+
+        for batch in batches:
+            keys = zip(*[batch.column(i).to_pylist() for i in range(width)], strict=True)
+            rows = zip(*[batch.column(i).to_pylist() for i in range(skip, batch.num_columns)], strict=True)
+            for key, row in zip(keys, rows, strict=True):
+                if state is None or key != held:
+                    if state is not None:
+                        out.append((*held, *done(state)))
+                    held, state = key, start()
+                step(state, *row)
+            if len(out) >= 4096:
+                yield full()
+        if state is not None:
+            out.append((*held, *done(state)))
+        if out:
+            yield full()
+
+    return dealt.mapInArrow(run, whole)
