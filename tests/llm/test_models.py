@@ -517,16 +517,15 @@ def test_main_text_equals_brute_force(seed):
     assert main_text.extract(html(tree)) == brute_main_text(tree)
 
 
-@pytest.mark.parametrize("copies", [1, 3])
-def test_pipeline_of_odd_tables(spark, tmp_path, copies):
+def test_pipeline_of_odd_tables(spark, tmp_path):
     """Empty texts, nulls, repeated rows and an empty table go through every stage."""
     import corpus_pipeline as C
 
     docs = spark.read.parquet(f"{SMALL}/documents.parquet").limit(30)
     odd = spark.createDataFrame([(None, "some words in a text without an id", "en", "s", 5), (10**9, None, None, None, None), (10**9 + 1, "", "en", "s", 0)], docs.schema)
     for rows in (docs.limit(0), docs.unionAll(odd)):
-        path = f"{tmp_path}/{copies}-{rows.count()}"
-        for _ in range(copies):
+        path = f"{tmp_path}/{rows.count()}"
+        for _ in range(2):
             rows.write.mode("append").parquet(f"{path}/documents.parquet")
         spark.read.parquet(f"{SMALL}/benchmark.parquet").write.parquet(f"{path}/benchmark.parquet")
         got = C.run(spark, path).collect()
