@@ -210,7 +210,7 @@ def dsl_powers(spark, d):  # noqa: ANN001, ANN201
     """, "Out", tables={"All": events(spark, d)}).withColumn("halved", F.round("halved", 6))
 
 
-@query("""SELECT event_id, event_type[1] AS a, event_type[-1:] AS z, substr(event_type, 2, 2) AS mid, substr(event_type, 3) AS rest, user_id + 2 AS third, 3 AS n, CAST(user_id AS BIGINT) AS head,
+@query("""SELECT event_id, event_type[1] AS a, event_type[-1:] AS z, substr(event_type, 2, 2) AS mid, substr(event_type, 3) AS rest, user_id + 2 AS third, 3::BIGINT AS n, CAST(user_id AS BIGINT) AS head,
  len(range(0, user_id % 5)) AS counted, coalesce(list_sum(range(0, user_id % 5 + 1)), 0)::DOUBLE AS summed, user_id * 2 AS looked FROM events""")
 def dsl_index_slice(spark, d):  # noqa: ANN001, ANN201
     return run(spark, d, """
