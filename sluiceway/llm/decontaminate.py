@@ -6,9 +6,10 @@ possible score. A score is then the weighted share of a section that a passage h
 all. Sections are laid out in blocks; the index keeps each term's greatest impact in the whole and in each block.
 Every passage of every document (a window of two spans of SECTION words, moving by one span, so that any section
 lies within a window) is a query. Bounds over ranges of blocks, added up for all windows of a text at once, leave
-out the windows that can reach the threshold nowhere. The others are searched by WAND: the cursors stand sorted by
+out the windows that can reach the threshold nowhere; for the others the sum of the block maxima of all terms leaves
+the live blocks, and the cursors are set to the first of these. Then WAND: the cursors stand sorted by
 section, the pivot is the first section whose cursors' greatest impacts reach the threshold together; where the
-block's maxima do not reach it, the cursors before jump past the block (or to the next cursor), else they jump
+block is not live, or the maxima of these cursors do not reach it there, the cursors before jump past the block (or to the next cursor), else they jump
 to the pivot, which is scored exactly once all stand there. What is jumped over is never read. All (window,
 section) pairs at the threshold are retrieved. A document and item are reported if, around the windows found, the
 item's question and its answer both overlap: the share of each part's word n-grams that occur there.
@@ -43,7 +44,7 @@ from pyspark.sql import functions as F
 from .common import small_batches, table
 
 #: Blocks of an index, ranges of blocks whose maxima leave out windows, sections of a shard, shards a worker holds.
-SECTION, BLOCKS, RANGES, SHARD, HELD = 64, 256, 32, 2_048, 4
+SECTION, BLOCKS, RANGES, SHARD, HELD = 64, 256, 32, 512, 4
 K1, B = 1.2, 0.75
 
 #: Least share of a section's score that a window must reach, and least overlap of question and answer.
@@ -113,18 +114,30 @@ class Index:
                 self.sections[k].append(s)
                 self.gains[k].append(g / total)
         self.top = [max(g) for g in self.gains]
-        self.blocks: list[dict[int, float]] = [{} for _ in self.top]
+        self.blocks = np.zeros((len(self.top), BLOCKS), np.float32)
         self.ranges = np.zeros((len(self.top), RANGES), np.float32)
         for k, (own, gains) in enumerate(zip(self.sections, self.gains, strict=True)):
             for s, g in zip(own, gains, strict=True):
                 b = s // self.size
-                self.blocks[k][b] = max(self.blocks[k].get(b, 0.0), g)
-                self.ranges[k, b * RANGES // BLOCKS] = max(self.ranges[k, b * RANGES // BLOCKS], g)
+                self.blocks[k, b] = max(self.blocks[k, b], g)
+        if len(self.top):
+            self.ranges = self.blocks.reshape(-1, RANGES, BLOCKS // RANGES).max(2)
 
     def _wand(self, own: list[int]) -> Iterator[tuple[int, float]]:
         """(section, score) at the threshold for a query of different terms: block-max WAND."""
-        sections, gains, top, blocks, size, need = self.sections, self.gains, self.top, self.blocks, self.size, self.threshold - SPARE
-        cursors = [[sections[t][0], t, 0] for t in own]  # section, term, place in its postings
+        sections, gains, top, size, need = self.sections, self.gains, self.top, self.size, self.threshold - SPARE
+        maxima = self.blocks[own]
+        live = np.flatnonzero(maxima.sum(0) >= need).tolist()
+        if not live:
+            self.passed += sum(len(sections[t]) for t in own)
+            return
+        maxima = dict(zip(own, maxima[:, live].tolist(), strict=True))
+        cursors = []  # section, term, place in its postings
+        for t in own:
+            place = bisect.bisect_left(sections[t], live[0] * size)
+            self.passed += place
+            if place < len(sections[t]):
+                cursors.append([sections[t][place], t, place])
         while cursors:
             cursors.sort()
             bound, p = 0.0, -1
@@ -139,7 +152,12 @@ class Index:
             while n < len(cursors) and cursors[n][0] == pivot:
                 n += 1
             block = pivot // size
-            if sum(blocks[c[1]].get(block, 0.0) for c in cursors[:n]) < need:
+            k = bisect.bisect_left(live, block)
+            if k == len(live):
+                break
+            if live[k] > block:
+                to, n = live[k] * size, len(cursors)
+            elif sum(maxima[c[1]][k] for c in cursors[:n]) < need:
                 to = (block + 1) * size if n == len(cursors) else min((block + 1) * size, cursors[n][0])
             elif cursors[0][0] == pivot:
                 score = sum(gains[c[1]][c[2]] for c in cursors[:n])
