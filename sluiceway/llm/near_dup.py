@@ -140,7 +140,8 @@ def links(fps: DataFrame, *, distance: int = DISTANCE, hot: int = HOT) -> DataFr
         .otherwise((F.col("sub") >= 16) & (F.col("sub") < 32) & (bit == F.col("sub") - 16))
     )
     on = [F.col(c) == F.col(f"{c}_b") for c in ("tag", "rest", "sub", "part")]
-    return a.join(b, functools.reduce(Column.__and__, [*on, _bits(x) <= distance, exact | masked, sub])).select("a", "b")
+    #: Spark takes an exploded row for as small as the row it came from, and would broadcast an index of 66 entries a fingerprint by the size of the fingerprints.
+    return a.join(b.hint("merge"), functools.reduce(Column.__and__, [*on, _bits(x) <= distance, exact | masked, sub])).select("a", "b")
 
 
 def components(pairs: DataFrame) -> DataFrame:

@@ -9,6 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from sluiceway.llm import line_dedup, near_dup, quality
 
 LINES = "doc_id long, source string, text string, h string, n_lines string"
@@ -248,3 +249,21 @@ def test_groups_joined_by_shuffle(spark):
 def test_simhash_of_very_long_and_repeated_rows(spark):
     df = spark.createDataFrame([(k, "a long text of words " * 100_000) for k in (7, 4, 4)] + [(9, "other")], "doc_id long, text string")
     assert sorted((r.doc_id, r.component_id) for r in near_dup.near_duplicates(df).collect()) == [(4, 4), (4, 4), (7, 4), (9, 9)]
+
+
+@pytest.fixture
+def small_broadcasts(spark):
+    """Spark broadcasts by its own estimates, under its default threshold; a table over 80 MB then fails, as in a small driver."""
+    spark.conf.set("spark.sql.maxBroadcastTableSize", "80m")
+    yield
+    spark.conf.unset("spark.sql.maxBroadcastTableSize")
+
+
+def many_texts(spark):
+    """60 000 texts, one of them twice."""
+    return spark.range(60_001).select(F.col("id").alias("doc_id"), F.concat_ws(" ", *[F.sha2(F.concat_ws("-", F.col("id") % 60_000, F.lit(k)), 256) for k in range(4)]).alias("text"))
+
+
+def test_pipeline_broadcasts_no_index_of_fingerprints(spark, small_broadcasts):
+    docs = many_texts(spark)
+    assert sorted(r.doc_id for r in corpus_pipeline.drop_near_copies(spark, docs, "").select("doc_id").collect()) == list(range(60_000))
