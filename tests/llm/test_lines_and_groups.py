@@ -267,3 +267,9 @@ def many_texts(spark):
 def test_pipeline_broadcasts_no_index_of_fingerprints(spark, small_broadcasts):
     docs = many_texts(spark)
     assert sorted(r.doc_id for r in corpus_pipeline.drop_near_copies(spark, docs, "").select("doc_id").collect()) == list(range(60_000))
+
+
+def test_simhash_broadcasts_no_index_of_fingerprints(spark, small_broadcasts, tmp_path):
+    many_texts(spark).write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r.component_id for r in near_dup.op10_simhash(spark, str(tmp_path)).collect()}
+    assert len(got) == 60_001 and got.pop(60_000) == 0 and all(i == c for i, c in got.items())
