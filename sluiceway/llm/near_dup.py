@@ -31,6 +31,9 @@ BITS, DISTANCE, SHINGLE = 64, 3, 3
 #: A segment value that more distinct fingerprints share is indexed at the second level too.
 HOT = 2_000
 
+#: Tables of fingerprints or nodes are broadcast through the driver up to so many rows (about 4 MB), merge joined beyond.
+BROADCAST_ROWS = 50_000
+
 _WORDS = re.compile(rb"[^ \t-\r]+")
 _LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 
@@ -75,6 +78,11 @@ def _bits(x: Column) -> Column:
     return F.bit_count(x)
 
 
+def _bounded(df: DataFrame, rows: int) -> DataFrame:
+    """One side of a join that has at most so many rows, with the way to join it. Spark's own choice goes by bytes of serialized rows, a third of what the driver then holds."""
+    return F.broadcast(df) if rows <= BROADCAST_ROWS else df.hint("merge")
+
+
 def links(fps: DataFrame, *, distance: int = DISTANCE, hot: int = HOT) -> DataFrame:
     """Pairs (a, b) of distinct fingerprints of column fp that differ in 1 to `distance` bits, each pair once."""
     if distance != 3:
@@ -101,7 +109,7 @@ def links(fps: DataFrame, *, distance: int = DISTANCE, hot: int = HOT) -> DataFr
 
     crowded = values.select(F.explode(F.array(*[F.struct(F.lit(s).alias("s"), _segment(F.col("fp"), s).alias("v")) for s in (0, 1)])).alias("e")).groupBy("e.s", "e.v").count().where(F.col("count") > hot)
     crowded = cut(crowded.select("s", "v"))
-    if not crowded.isEmpty():
+    if n_crowded := crowded.count():
         keys = crowded.select(
             F.explode(
                 F.concat(
@@ -110,7 +118,7 @@ def links(fps: DataFrame, *, distance: int = DISTANCE, hot: int = HOT) -> DataFr
                 )
             ).alias("e")
         ).select(F.col("e.tag").cast("int").alias("tag"), "e.rest").distinct().withColumn("dense", F.lit(True))
-        index = index.join(keys, ["tag", "rest"], "left")
+        index = index.join(_bounded(keys, 33 * n_crowded), ["tag", "rest"], "left")
         other = F.when(F.col("tag") >= 64, 65 - F.col("tag")).otherwise(1 - F.floor(F.col("tag") / 32)).cast("int")
         rest = F.call_function("shiftrightunsigned", F.col("fp"), other * 32).bitwiseAND(F.lit(0xFFFFFFFF))
 
@@ -150,11 +158,12 @@ def components(pairs: DataFrame) -> DataFrame:
     Alternating large and small stars: in each round every node is tied to the smallest node it knows.
     """
     edges = cut(pairs.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
+    nodes = edges.select(F.explode(F.array("u", "v"))).distinct().count()  # no round makes more
     for _ in range(64):
         both = edges.unionAll(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("k"), F.least("u", "m").alias("m"))
+        low = _bounded(both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("k"), F.least("u", "m").alias("m")), nodes)
         large = both.join(low, F.col("u") == F.col("k")).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionAll(edges.join(low, F.col("u") == F.col("k")).select("u", F.col("m").alias("v"))).where("u <> v").distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m")).withColumnRenamed("u", "k")
+        low = _bounded(large.groupBy("u").agg(F.min("v").alias("m")).withColumnRenamed("u", "k"), nodes)
         small = large.join(low, F.col("u") == F.col("k")).select(F.explode(F.array(F.struct(F.col("u").alias("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.u", "e.v").where("u <> v").distinct()
         small = cut(small)
         if small.unionAll(edges).groupBy("u", "v").count().where("count <> 2").isEmpty():
@@ -167,11 +176,14 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
     """doc_id, fp, component_id: the smallest doc_id reachable over links, for every row."""
     rows = cut(fingerprints(docs, doc_id=doc_id, text=text))
     values = cut(rows.groupBy("fp").agg(F.min("doc_id").alias("least_id")))
-    roots = components(links(values, hot=hot))
-    rooted = values.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "least_id", F.coalesce("root", "fp").alias("root"))
-    moved = roots.join(values, F.col("node") == F.col("fp")).groupBy("root").agg(F.min("least_id").alias("group_id")).withColumnRenamed("root", "r")
-    named = rooted.join(moved, F.col("root") == F.col("r"), "left").select("fp", F.coalesce("group_id", "least_id").alias("component_id"))
-    return rows.join(named.withColumnRenamed("fp", "f"), F.col("fp") == F.col("f")).select("doc_id", "fp", "component_id")
+    n_values = values.count()
+    roots = cut(components(links(values, hot=hot)))
+    n_roots = roots.count()
+    known = _bounded(roots, n_roots)
+    rooted = values.join(known, F.col("fp") == F.col("node"), "left").select("fp", "least_id", F.coalesce("root", "fp").alias("root"))
+    moved = values.join(known, F.col("fp") == F.col("node")).groupBy("root").agg(F.min("least_id").alias("group_id")).withColumnRenamed("root", "r")
+    named = rooted.join(_bounded(moved, n_roots), F.col("root") == F.col("r"), "left").select(F.col("fp").alias("f"), F.coalesce("group_id", "least_id").alias("component_id"))
+    return rows.join(_bounded(named, n_values), F.col("fp") == F.col("f")).select("doc_id", "fp", "component_id")
 
 
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

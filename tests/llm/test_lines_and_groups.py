@@ -273,3 +273,31 @@ def test_simhash_broadcasts_no_index_of_fingerprints(spark, small_broadcasts, tm
     many_texts(spark).write.parquet(f"{tmp_path}/documents.parquet")
     got = {r.doc_id: r.component_id for r in near_dup.op10_simhash(spark, str(tmp_path)).collect()}
     assert len(got) == 60_001 and got.pop(60_000) == 0 and all(i == c for i, c in got.items())
+
+
+def test_simhash_broadcasts_no_table_that_grows_with_the_documents(spark, tmp_path):
+    many_texts(spark).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.conf.set("spark.sql.maxBroadcastTableSize", "3m")
+    try:
+        got = {r.doc_id: r.component_id for r in near_dup.op10_simhash(spark, str(tmp_path)).collect()}
+        pairs = spark.range(60_000).select((F.col("id") * 4).alias("a"), (F.col("id") * 4 + 1).alias("b"))
+        roots = {r.node: r.root for r in near_dup.components(pairs).collect()}
+    finally:
+        spark.conf.unset("spark.sql.maxBroadcastTableSize")
+    assert len(got) == 60_001 and got.pop(60_000) == 0 and all(i == c for i, c in got.items())
+    assert len(roots) == 120_000 and all(root == node // 4 * 4 for node, root in roots.items())
+
+
+def test_near_duplicates_are_the_same_without_broadcast(spark, monkeypatch):
+    rnd = random.Random(11)
+    fps = [rnd.getrandbits(64) for _ in range(60)]
+    fps += [f ^ 1 << rnd.randrange(64) ^ 1 << rnd.randrange(64) for f in fps for _ in range(3)] + fps[:9]
+    df = spark.createDataFrame([(k, signed(f)) for k, f in enumerate(fps)], "doc_id long, fp long")
+    monkeypatch.setattr(near_dup, "fingerprints", lambda docs, **_: docs)
+    roots, least = brute_components(set(fps)), {}
+    for k, f in enumerate(fps):
+        least.setdefault(roots[f], k)
+    want = [(k, signed(f), least[roots[f]]) for k, f in enumerate(fps)]
+    for bound in (near_dup.BROADCAST_ROWS, 0):
+        monkeypatch.setattr(near_dup, "BROADCAST_ROWS", bound)
+        assert sorted(map(tuple, near_dup.near_duplicates(df, hot=2).collect())) == want
