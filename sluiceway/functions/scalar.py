@@ -25,6 +25,11 @@ def int_pow(a: Column, b: Column) -> Column:
     return F.pow(a, b).try_cast(LONG)
 
 
+def logarithm(f: Callable[[Column], Column]) -> Callable[[Column], Column]:
+    """Of zero minus infinity; below zero null, as a NaN is above all numbers here and would pass a filter for large ones."""
+    return lambda x: F.when(x == F.lit(0.0), F.lit(float("-inf"))).otherwise(f(x))
+
+
 def smaller(a: Column, b: Column) -> Column:
     return F.when(a.isNotNull() & b.isNotNull(), F.least(a, b))
 
@@ -124,7 +129,7 @@ def replace(s: Column, old: object, new: object) -> Column:
 #: By name: (least arguments, most arguments, builder).
 TABLE: dict[str, tuple[int, int, Callable[..., Column]]] = {
     "abs": (1, 1, F.abs), "sqrt": (1, 1, F.sqrt), "floor": (1, 1, lambda x: F.floor(x).cast(LONG)), "ceil": (1, 1, lambda x: F.ceil(x).cast(LONG)),
-    "round": (1, 1, lambda x: F.round(x).cast(LONG)), "pow": (2, 2, F.pow), "log": (1, 1, F.ln), "log10": (1, 1, F.log10), "exp": (1, 1, F.exp),
+    "round": (1, 1, lambda x: F.round(x).cast(LONG)), "pow": (2, 2, F.pow), "log": (1, 1, logarithm(F.ln)), "log10": (1, 1, logarithm(F.log10)), "exp": (1, 1, F.exp),
     "sin": (1, 1, F.sin), "cos": (1, 1, F.cos), "tan": (1, 1, F.tan), "min": (2, 2, smaller), "max": (2, 2, larger), "clamp": (3, 3, clamp),
     "len": (1, 1, text_len), "size": (1, 1, lambda a: F.size(a).cast(LONG)), "first": (1, 1, lambda a: F.try_element_at(a, F.lit(1))), "last": (1, 1, lambda a: F.try_element_at(a, F.lit(-1))),
     "push": (2, 2, F.array_append), "pop": (1, 1, pop), "reverse": (1, 1, F.reverse), "sort": (1, 1, F.array_sort), "keys": (1, 1, F.map_keys), "values": (1, 1, F.map_values),

@@ -394,10 +394,13 @@ def score_linear(spark, d):  # noqa: ANN001, ANN201
  round(ln(value), 9) AS f_log, round(log10(value), 9) AS f_log10, round(sin(value), 9) AS f_sin, greatest(10.0, least(100.0, value)) AS f_clamp, user_id % 7 AS f_mod, user_id // 7 AS f_div, least(value, 50.0) AS f_min, greatest(value, 50.0) AS f_max FROM events""")
 def fn_math(spark, d):  # noqa: ANN001, ANN201
     t, v = {k: f for k, (_, _, f) in S.TABLE.items()}, c("value")
+    nine = lambda x: F.round(x * 1e9) / 1e9  # noqa: E731 - as the SQL rounds; F.round(x, 9) takes other ties
+    log = lambda n: F.when(v < 0, F.lit(float("nan"))).otherwise(nine(t[n](v)))  # noqa: E731 - below zero NaN in SQL, null in the table
+    known = F.nvl(v, F.lit(50.0))  # the SQL's least and greatest pass over null
     return events(spark, d).select(
-        "event_id", t["abs"](-v).alias("f_abs"), t["floor"](v).alias("f_floor"), t["ceil"](v).alias("f_ceil"), t["round"](v).alias("f_round"), F.round(t["sqrt"](v), 9).alias("f_sqrt"),
-        F.round(t["log"](v), 9).alias("f_log"), F.round(t["log10"](v), 9).alias("f_log10"), F.round(t["sin"](v), 9).alias("f_sin"), t["clamp"](v, 10.0, 100.0).alias("f_clamp"),
-        (c("user_id") % 7).alias("f_mod"), S.int_div(c("user_id"), F.lit(7)).alias("f_div"), t["min"](v, F.lit(50.0)).alias("f_min"), t["max"](v, F.lit(50.0)).alias("f_max"),
+        "event_id", t["abs"](-v).alias("f_abs"), t["floor"](v).alias("f_floor"), t["ceil"](v).alias("f_ceil"), t["round"](v).alias("f_round"), nine(t["sqrt"](v)).alias("f_sqrt"),
+        log("log").alias("f_log"), log("log10").alias("f_log10"), nine(t["sin"](v)).alias("f_sin"), t["clamp"](v, 10.0, 100.0).alias("f_clamp"),
+        (c("user_id") % 7).alias("f_mod"), S.int_div(c("user_id"), F.lit(7)).alias("f_div"), t["min"](known, F.lit(50.0)).alias("f_min"), t["max"](known, F.lit(50.0)).alias("f_max"),
     )
 
 

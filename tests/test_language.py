@@ -92,6 +92,12 @@ def test_imperative_functions_give_no_value_on_wrong_input():
     assert machine("fn f(x: str): len(x)", "\u00e9") == 2 and machine("fn f(x: str): type_of([x])", "a") == "array"
 
 
+def test_log_of_zero_is_minus_infinity_and_below_zero_no_value(spark):
+    df = spark.createDataFrame([(k, x) for k, x in enumerate((0.0, -0.0, -1.0, 1.0, None))], "event_id long, x double")
+    made = {f: [r.event_id for r in Program(f"stream S = A.where({f}).select(event_id)", spark, tables={"A": df}).stream("S").orderBy("event_id").collect()] for f in ("log(x) < 1", "log10(x) < 1", "log(x) >= 0")}
+    assert made == {"log(x) < 1": [0, 1, 3], "log10(x) < 1": [0, 1, 3], "log(x) >= 0": [3]}
+
+
 def test_imperative_names_are_checked_at_planning(spark):
     df = spark.createDataFrame([(1, 0, "a")], "event_id long, ts long, event_type string")
     for body, message in (("nothing(x)", "unknown function"), ("x + y", "unknown name")):

@@ -16,6 +16,17 @@ def test_query_equals_its_sql(spark, duck, same, name):
         assert len(found) > 0
 
 
+def test_fn_math_equals_its_sql_on_odd_values(spark, duck, tmp_path):
+    values = ["NULL", "0.0", "-0.0", "-0.01", "-2.5", "1e-320", "0.5", "1.0", "2.5", "49.99", "50.0", "1e15", "4515.94"]
+    rows = ", ".join(f"({k}, TIMESTAMP '2024-01-01', {'NULL' if v == 'NULL' else k - 8}, 'view', {v}::DOUBLE, '')" for k, v in enumerate(values))
+    duck.execute(f"COPY (SELECT * FROM (VALUES {rows}) t(event_id, ts, user_id, event_type, value, props)) TO '{tmp_path}/events.parquet'")
+    want = duck.execute(f"WITH events AS (SELECT * FROM '{tmp_path}/events.parquet') {catalog.ORACLES['fn_math']}").fetchall()
+    got = [tuple(r) for r in catalog.QUERIES["fn_math"](spark, str(tmp_path)).collect()]
+    cells = lambda rows: sorted((tuple("nan" if v != v else v for v in r) for r in rows), key=lambda r: r[0])
+    assert cells(got) == cells(want)
+    assert {r[6] for r in got if r[0] in (1, 2)} == {float("-inf")}
+
+
 def test_entry(spark):
     import __spark_entry__ as e
 
